@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, media, pack, toxicity
+from . import bpe, media, pack, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_simhash": simhash.op5_simhash,
     "op6_best_fit_packing": pack.op6_best_fit_packing,
     "op10_media_columns": media.op10_media_columns,
 }
