@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, pack, simhash, substring, toxicity
+from . import bpe, katz, media, pack, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_best_fit_packing": pack.op6_best_fit_packing,
+    "op9_katz_scores": katz.op9_katz_scores,
     "op10_media_columns": media.op10_media_columns,
 }
 
