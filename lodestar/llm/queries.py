@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, katz, media, pack, simhash, substring, toxicity
+from . import bpe, katz, media, pack, pii, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_personal_data": pii.op3_personal_data,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_best_fit_packing": pack.op6_best_fit_packing,
