@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, katz, media, pack, pii, simhash, substring, toxicity
+from . import bpe, chat, katz, media, neighbours, pack, pii, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_best_fit_packing": pack.op6_best_fit_packing,
+    "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
+    "op8_chat_windows": chat.op8_chat_windows,
     "op9_katz_scores": katz.op9_katz_scores,
     "op10_media_columns": media.op10_media_columns,
 }
