@@ -131,8 +131,8 @@ class Bpe:
         self.bytes = np.frombuffer(b"".join(token), np.uint8)
         self.cache: dict[str, bytes] = {}
 
-    def merge_rows(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of at least one byte, by rounds of merges over a padded matrix."""
+    def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (as bytes) of pieces of at least one byte, by rounds of merges over a padded matrix."""
         size = np.array([len(p) for p in pieces], np.int64)
         width, out = int(size.max()), [None] * len(pieces)
         ids = np.full((len(pieces), width), -1, np.int32)
@@ -145,8 +145,9 @@ class Bpe:
             best = rank[np.arange(len(rows)), at]
             done = best == NONE
             if done.any():
-                for i in np.flatnonzero(done).tolist():
-                    out[rows[i]] = ids[i, : size[i]]
+                raw, step = ids[done].tobytes(), 4 * ids.shape[1]
+                for k, (i, n) in enumerate(zip(rows[done].tolist(), size[done].tolist())):
+                    out[i] = raw[k * step : k * step + 4 * n]
                 go = ~done
                 if not go.any():
                     return out
@@ -203,24 +204,24 @@ class Bpe:
 
     def learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the cache."""
-        todo = []
-        for p in pieces:
-            raw = p.encode()
-            whole = self.ranks.get(raw) if self.whole else None
-            if whole is not None:
-                self.cache[p] = np.int32(whole).tobytes()
-            elif len(raw) > LONG_PIECE:
-                self.cache[p] = self.merge_long(raw).tobytes()
+        raw = list(map(str.encode, pieces))
+        if self.whole:
+            whole = list(map(self.ranks.get, raw))
+            self.cache.update((p, r.to_bytes(4, "little")) for p, r in zip(pieces, whole) if r is not None)
+            left = [i for i, r in enumerate(whole) if r is None]
+            pieces, raw = [pieces[i] for i in left], [raw[i] for i in left]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(size, kind="stable")
+        size, at = size[order], 0
+        while at < len(order):  # a bucket: lengths within an eighth (and two bytes), and a bounded matrix
+            n, to = int(size[at]), int(np.searchsorted(size, size[at] * 9 // 8 + 2, side="right"))
+            to = min(to, at + max(1, CELLS // int(size[to - 1])))
+            some = order[at:to].tolist()
+            if n > LONG_PIECE:
+                made = [self.merge_long(raw[i]).tobytes() for i in some]
             else:
-                todo.append((len(raw), p, raw))
-        todo.sort(key=lambda x: x[0])
-        at = 0
-        while at < len(todo):  # a bucket: lengths within an eighth (and two bytes), and a bounded matrix
-            to, widest = at, todo[at][0] * 9 // 8 + 2
-            while to < len(todo) and todo[to][0] <= widest and (to == at or (to - at + 1) * todo[to][0] <= CELLS):
-                to += 1
-            for (_, p, _), ids in zip(todo[at:to], self.merge_rows([x[2] for x in todo[at:to]])):
-                self.cache[p] = ids.tobytes()
+                made = self.merge_rows([raw[i] for i in some])
+            self.cache.update(zip([pieces[i] for i in some], made))
             at = to
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
