@@ -1 +1 @@
-
+"""Column functions whose semantics Spark has no single built-in for."""
