@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Pieces whose ids a task keeps; beyond it the cache starts anew.
@@ -263,6 +263,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(to, T.ArrayType(T.IntegerType(), False))])
     names, column = arrow_schema(schema), next(i for i, c in enumerate(rest) if c.lower() == text.lower())
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         bpe = coder(path, pattern)
         for whole in batches:
@@ -282,6 +284,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(to, T.BinaryType())])
     names, column = arrow_schema(schema), next(i for i, c in enumerate(rest) if c.lower() == ids.lower())
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         bpe = coder(path, pattern)
         for whole in batches:

@@ -8,7 +8,7 @@ Arrow buffers, a batch of documents at a time.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+HASHED = 1 << 18
 _POW = np.ones(1, dtype=U64)
 _INV = np.ones(1, dtype=U64)
 
@@ -81,10 +82,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A mixed 64-bit polynomial hash of each word's bytes."""
-        pow_, inv = _powers(len(self.buf) + 1)
-        p = np.zeros(len(self.buf) + 1, dtype=U64)
-        np.cumsum(_BYTE[self.buf] * pow_[: len(self.buf)], out=p[1:])
-        h = (p[self.end] - p[self.start]) * inv[self.start]
+        h = np.empty(len(self.start), dtype=U64)
+        at = 0
+        while at < len(h):  # the words that begin in a stretch of HASHED bytes, so that little is held at once
+            low = int(self.start[at])
+            to = int(np.searchsorted(self.start, low + HASHED, side="left"))
+            start, end = self.start[at:to] - low, self.end[at:to] - low
+            part = self.buf[low : low + int(end[-1])]
+            pow_, inv = _powers(len(part) + 1)
+            p = np.zeros(len(part) + 1, dtype=U64)
+            np.cumsum(_BYTE[part] * pow_[: len(part)], out=p[1:])
+            h[at:to] = (p[end] - p[start]) * inv[start]
+            at = to
         return mix64(h + (self.end - self.start).astype(U64))
 
     def joined(self, keep: np.ndarray | None = None) -> list[bytes]:
@@ -149,8 +158,11 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         at = to
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Smaller Arrow batches, as rows of text are long, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def arrow_schema(schema: str | T.StructType) -> pa.Schema:
@@ -170,12 +182,6 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def add_columns(df: DataFrame, cols: dict) -> DataFrame:
-    """df with columns of these names, which replace any of the same name in any case."""
-    new = {k.lower() for k in cols}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in new], *[v.alias(k) for k, v in cols.items()])
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Leaves the shared folder that the session names; sets one only where none is."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

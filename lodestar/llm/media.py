@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, arrow_schema, free_name
+from .common import arrow_schema, free_name, small_batches
 
 RATE = 16_000
 UP, DOWN, TAPS = 1, 2, 16
@@ -187,10 +187,12 @@ def audio_columns(df: DataFrame, text: str = "text") -> DataFrame:
     source = df.select(*[df[f"`{c}`"] for c in rest], F.coalesce(df[f"`{text}`"], F.lit("")).cast("binary").alias(key))
     names = arrow_schema(schema)
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 media, size, blobs, count, said = [], [], [], [], []
                 for value in batch.column(len(rest)):
                     raw = value.as_buffer().to_pybytes()

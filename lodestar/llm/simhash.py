@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_schema, checkpoint, free_name, slices
+from .common import U64, arrow_schema, checkpoint, free_name, slices, small_batches
 from .components import components, forest
 
 THRESHOLD = 4
@@ -64,9 +64,11 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """(doc_id, fp) of each row, fp as a signed 64-bit number; null text: like an empty one."""
     names = arrow_schema("doc_id bigint, fp bigint")
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 8_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)], U64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], schema=names)
 

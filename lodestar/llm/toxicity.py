@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, U64, Words, arrow_schema, crc_mod, free_name, mix64, ngram_hashes, slices, text_buffer
+from .common import _BYTE, U64, Words, arrow_schema, crc_mod, free_name, mix64, ngram_hashes, slices, small_batches, text_buffer
 
 #: Labelled rows that a model is fitted on, at most.
-SAMPLE = 3_000
+SAMPLE = 2_400
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -45,17 +45,18 @@ def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buf[inner] = words.buf[at]
     buf[first], buf[to - 1] = 256, 257
     code = np.concatenate([_BYTE, mix64(np.array([1001, 1002], U64))])[buf]
-    word = np.repeat(np.arange(len(which)), size)
-    left = np.repeat(to, size) - np.arange(len(buf))  # bytes from here to the word's end
+    word = np.repeat(np.arange(len(which), dtype=np.int32), size)
+    left = (np.repeat(to, size) - np.arange(len(buf))).astype(np.int32)  # bytes from here to the word's end
     ids, owner = [], []
     for n in GRAMS:
         h = ngram_hashes(code, n)
         ok = left[: len(h)] >= n
         ids.append((h[ok] % U64(BUCKETS)).astype(np.int32))
         owner.append(word[: len(h)][ok])
+        del h, ok
     h = np.add.reduceat(code * mix64(np.arange(len(buf), dtype=U64) - np.repeat(first, size).astype(U64) + U64(7)), first) if len(first) else np.zeros(0, U64)
     ids.append((mix64(h) % U64(BUCKETS)).astype(np.int32))
-    owner.append(np.arange(len(which)))
+    owner.append(np.arange(len(which), dtype=np.int32))
     ids, owner = np.concatenate(ids), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return ids[order], np.bincount(owner, minlength=len(which))
@@ -77,8 +78,10 @@ def bag_sums(scores: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _tokens(buf: np.ndarray, offsets: np.ndarray):
     words = Words(buf, offsets, lower=True)
     _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    ids, n = subwords(words, first)
-    return words.count, inverse, ids, n
+    made = [subwords(words, first[at : at + 10_000]) for at in range(0, len(first), 10_000)]
+    ids = np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int32)
+    n = np.concatenate([m[1] for m in made]) if made else np.zeros(0, np.int64)
+    return words.count, inverse.astype(np.int32), ids, n
 
 
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -97,7 +100,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     used = np.unique(ids)
-    local = np.searchsorted(used, ids)
+    local = np.searchsorted(used, ids).astype(np.int32)
     emb = emb[used]
     params = [emb, soft, bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -151,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picks = [label.filter(F.col("toxic") == k).orderBy(*order).limit(sample // 2) for k in (0, 1)]
     chosen = picks[0].unionAll(picks[1]).select(F.col("doc_id").alias("l_id"), "toxic")  # at most `sample` rows
+    small_batches(docs.sparkSession)
     mine = docs.select(F.col(f"`{doc_id}`").alias("l_doc"), F.col(f"`{text}`").alias("l_text"))
     rows = mine.join(F.broadcast(chosen), F.col("l_doc") == F.col("l_id")).select("l_doc", "l_text", "toxic")
 
@@ -176,9 +180,11 @@ def score(df: DataFrame, model: np.ndarray, text: str = "text", to: str = "score
     names, column = arrow_schema(schema), next(i for i, c in enumerate(rest) if c.lower() == text.lower())
     held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS + 1 numbers
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[column], 4_000_000):
+            for batch in slices(whole, whole.schema.names[column], 1_000_000):
                 made = score_buffer(*text_buffer(batch.column(column)), held.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], schema=names)
 
