@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, text_buffer
+from .common import U64, small_batches, text_buffer
 
 MESSAGE = "part int, chunk bigint, kind string, a binary, b binary, c binary"
 MESSAGE_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
+def parts_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """Parts of the hash range, in proportion to the input's size."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return int(min(1 << 16, max(16, size // bytes_each)))
@@ -36,6 +36,8 @@ def packed(df: DataFrame, text: str, order: str, max_bytes: int) -> DataFrame:
     from the partition and the place in it.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 

@@ -28,7 +28,7 @@ from .common import U64, Words, arrow_schema, crc_mod, mix64, pack_ints, pack_so
 K = 5
 #: A history of this share of the tokens is dealt out by the next word.
 HOT_SHARE = 1024
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
 END, START = (U64(x) for x in mix64(np.array([0xE0D, 0xB05], U64)))
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -102,7 +102,7 @@ class Tokens:
         words = Words(*text_buffer(batch.column(1)), lower=True)
         n_docs = batch.num_rows
         self.count = words.count + 1
-        self.doc = np.repeat(np.arange(n_docs), self.count)
+        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.count)
         last = np.cumsum(self.count) - 1
         token = np.full(len(self.doc), END)
         word = np.ones(len(self.doc), bool)
@@ -111,7 +111,7 @@ class Tokens:
         self.train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         self.weight = self.train[self.doc]
         self.keys, self.word = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-        start, self.word = self.word[-1], self.word[:-1]
+        start, self.word = self.word[-1].astype(np.int32), self.word[:-1].astype(np.int32)
         self.start = int(start)
         self.history = np.concatenate([[start], self.word[:-1]]) if len(token) else self.word
         self.history[last + 1 - self.count] = start
@@ -242,7 +242,7 @@ def scores(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id") ->
         for kind, p, a, b in plan:
             first, size = _runs(h[a:b])
             who = t.keys[h[a:b][first]]
-            out.append((p, chunk, kind, blobs(pack_ints(who), pack_ints(size), stats.encode()), blobs(pack_ints(t.keys[w[a:b]] >> U64(8)), pack_ints(count[w[a:b]])), pack_ints(mine[a:b])))
+            out.append((p, chunk, kind, blobs(pack_ints(who), pack_ints(size), stats.encode()), blobs(pack_ints(t.keys[w[a:b]] >> U64(16)), pack_ints(count[w[a:b]])), pack_ints(mine[a:b])))
         out.append((int(chunk % parts), chunk, "echo", pack_ints(count), stats.encode(), None))
         return C.messages(out)
 

@@ -26,7 +26,7 @@ from .common import U64, Words, arrow_schema, free_name, ngram_hashes, pack_ints
 
 WINDOW = 20
 SHINGLE = 5
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 6_000_000
 NO_ID = 2**63 - 1
 
 
