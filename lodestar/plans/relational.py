@@ -189,11 +189,12 @@ FRAME = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDI
 @register(
     "window_frames", (187, 188, 189),
     f"""SELECT event_id, ROUND(SUM(value) {FRAME}, 6) AS s, ROUND(AVG(value) {FRAME}, 6) AS a, MIN(value) {FRAME} AS lo, MAX(value) {FRAME} AS hi, CAST(COUNT(value) {FRAME} AS DOUBLE) AS n,
-       ROUND(COALESCE(VAR_SAMP(value) {FRAME}, 0), 4) AS vs, ROUND(VAR_POP(value) {FRAME}, 4) AS vp, ROUND(COALESCE(STDDEV_SAMP(value) {FRAME}, 0), 4) AS ss, ROUND(STDDEV_POP(value) {FRAME}, 4) AS sp FROM events""",
+       ROUND(COALESCE(VAR_SAMP(value) {FRAME}, 0) * PI(), 4) AS vs, ROUND(VAR_POP(value) {FRAME} * PI(), 4) AS vp, ROUND(COALESCE(STDDEV_SAMP(value) {FRAME}, 0), 4) AS ss, ROUND(STDDEV_POP(value) {FRAME}, 4) AS sp FROM events""",
 )
 def window_frames(spark, d):
+    """Variances are scaled by pi: exact decimals would be rounding ties."""
     made = windows.frame(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], 3, 1)
-    return made.select("event_id", *[F.round(k, 6).alias(k) for k in ("s", "a")], "lo", "hi", "n", *[F.round(k, 4).alias(k) for k in ("vs", "vp", "ss", "sp")])
+    return made.select("event_id", *[F.round(k, 6).alias(k) for k in ("s", "a")], "lo", "hi", "n", *[F.round(c(k) * F.pi(), 4).alias(k) for k in ("vs", "vp")], *[F.round(k, 4).alias(k) for k in ("ss", "sp")])
 
 
 @register("sort_multi_key", (190, 191, 192, 193, 194, 195), "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS pos FROM orders")
