@@ -49,7 +49,7 @@ def packed(df: DataFrame, text: str, order: str, max_bytes: int) -> DataFrame:
             table = pa.Table.from_batches(held)
             table = table.take(pa.compute.sort_indices(table, sort_keys=[(order, "ascending")])).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as writer:
                 writer.write_table(table)
             number, count, held, size = (part << 32) | count, count + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])

@@ -28,8 +28,10 @@ from .common import U64, Words, arrow_schema, crc_mod, mix64, pack_ints, pack_so
 K = 5
 #: A history of this share of the tokens is dealt out by the next word.
 HOT_SHARE = 1024
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 8_000_000
 END, START = (U64(x) for x in mix64(np.array([0xE0D, 0xB05], U64)))
+#: Words go by the upper 56 bits of their hashes; the difference is a byte a word on the wire.
+KEY_BITS = U64(0xFFFFFFFFFFFFFF00)
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -110,7 +112,8 @@ class Tokens:
         token[word] = words.hashes()
         self.train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         self.weight = self.train[self.doc]
-        self.keys, self.word = np.unique(np.concatenate([token, [START]]), return_inverse=True)
+        token = np.concatenate([token, [START]]) & KEY_BITS
+        self.keys, self.word = np.unique(token, return_inverse=True)
         start, self.word = self.word[-1].astype(np.int32), self.word[:-1].astype(np.int32)
         self.start = int(start)
         self.history = np.concatenate([[start], self.word[:-1]]) if len(token) else self.word
@@ -128,7 +131,7 @@ class Tokens:
     def plan(self, h: np.ndarray, w: np.ndarray, count: np.ndarray, n: int, parts: int):
         """The pairs' order on the wire, and rows (kind, part, first, last) of it; the same each time."""
         size = count.copy()
-        size[self.start] = count[np.searchsorted(self.keys, END)] if END in self.keys else 0
+        size[self.start] = count[np.searchsorted(self.keys, END & KEY_BITS)] if END & KEY_BITS in self.keys else 0
         hot = (size * HOT_SHARE >= n) & (size > 0)
         out, order, at = [], [], 0
         plain = np.flatnonzero(~hot[h])
@@ -176,7 +179,7 @@ def _answer_pairs(part: int, rows: list) -> list[tuple]:
         histories_, sizes, words, count_of_word, counts, stats = [], [], [], [], [], None
         for _, _, a, b, c in asked:
             x, y, stats = unblobs(a, 3)
-            histories_.append(unpack_ints(x, U64))
+            histories_.append(unpack_sorted(x))
             sizes.append(unpack_ints(y, np.int64))
             x, y = unblobs(b, 2)
             words.append(unpack_ints(x, U64))
@@ -193,7 +196,9 @@ def _answer_pairs(part: int, rows: list) -> list[tuple]:
         small = seen & (total <= K)
         np.add.at(few, (of[small], total[small] - 1), 1)
         sums = np.bincount(of, total, len(known)).astype(np.int64)
-        covered = np.bincount(of[seen], uni.p(np.concatenate(count_of_word)[first][seen]), len(known))
+        of_word = np.zeros(len(first), np.int64)
+        np.maximum.at(of_word, which, np.concatenate(count_of_word))
+        covered = np.bincount(of[seen], uni.p(of_word[seen]), len(known))
         by = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
         rest = [int(a + b) for a, b in zip(rest, by)]
         at = hat = 0
@@ -241,8 +246,9 @@ def scores(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id") ->
         out = []
         for kind, p, a, b in plan:
             first, size = _runs(h[a:b])
-            who = t.keys[h[a:b][first]]
-            out.append((p, chunk, kind, blobs(pack_ints(who), pack_ints(size), stats.encode()), blobs(pack_ints(t.keys[w[a:b]] >> U64(16)), pack_ints(count[w[a:b]])), pack_ints(mine[a:b])))
+            who = pack_sorted(t.keys[h[a:b][first]])
+            of_word = np.where(mine[a:b] > 0, count[w[a:b]], 0)  # needed where the pair was seen
+            out.append((p, chunk, kind, blobs(who, pack_ints(size), stats.encode()), blobs(pack_ints(t.keys[w[a:b]] >> U64(16)), pack_ints(of_word)), pack_ints(mine[a:b])))
         out.append((int(chunk % parts), chunk, "echo", pack_ints(count), stats.encode(), None))
         return C.messages(out)
 
