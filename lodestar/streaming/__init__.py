@@ -1 +1 @@
-
+"""Structured Streaming forms of the pipeline and of the stateful operators."""
