@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, small_batches
+from .common import arrow_schema, release, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Pieces whose ids a task keeps; beyond it the cache starts anew.
@@ -233,6 +233,7 @@ class Bpe:
         distinct = set().union(*found) if found else set()
         if len(self.cache) + len(distinct) > CACHE_PIECES:
             self.cache.clear()
+            release()
         self.learn([p for p in distinct if p not in self.cache])
         get = self.cache.__getitem__
         return [b"".join(map(get, pieces)) for pieces in found]

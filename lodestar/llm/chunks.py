@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, small_batches, text_buffer
+from .common import U64, release, small_batches, text_buffer
 
 MESSAGE = "part int, chunk bigint, kind string, a binary, b binary, c binary"
 MESSAGE_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -101,6 +101,7 @@ def ask(chunks: DataFrame, fn) -> DataFrame:
         for batch in batches:
             for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from messages(fn(chunk, unpacked(rows.as_py()))).to_batches()
+                release()
 
     return chunks.mapInArrow(run, MESSAGE)
 
@@ -111,7 +112,10 @@ def answer(asked: DataFrame, fn) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table[n].to_pylist() for n in ("chunk", "kind", "a", "b", "c"))))
         rows.sort(key=lambda r: (r[0], r[1]))
-        return messages(fn(table["part"][0].as_py(), rows))
+        made = messages(fn(table["part"][0].as_py(), rows))
+        del rows
+        release()
+        return made
 
     return asked.groupBy("part").applyInArrow(run, MESSAGE)
 
@@ -124,6 +128,9 @@ def told(chunks: DataFrame, answers: DataFrame, fn, schema) -> DataFrame:
             raise ValueError("answers to a chunk that isn't there")
         names = [n for n in right.schema.names if n != "chunk"]
         rows = sorted(zip(*(right[n].to_pylist() for n in names)), key=lambda r: (r[0], r[1]))
-        return fn(left["chunk"][0].as_py(), unpacked(left["rows"][0].as_py()), rows)
+        made = fn(left["chunk"][0].as_py(), unpacked(left["rows"][0].as_py()), rows)
+        del rows
+        release()
+        return made
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

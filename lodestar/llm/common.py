@@ -158,6 +158,17 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         at = to
 
 
+def release() -> None:
+    """Gives a worker's freed memory back, so that what one stage used does not add to the next one's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Smaller Arrow batches, as rows of text are long, unless the session has its own number."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import coder
-from .common import arrow_schema, checkpoint, slices
+from .common import arrow_schema, checkpoint, slices, small_batches
 
 CAPACITY = 2048
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, in_part bigint"
@@ -43,6 +43,8 @@ def pieces(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, tex
     """A row for each piece, with its rank among those of its length in its partition."""
     names = arrow_schema(PIECES)
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         from pyspark import TaskContext
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_schema, checkpoint, free_name, slices, small_batches
+from .common import U64, arrow_schema, checkpoint, free_name, release, slices, small_batches
 from .components import components, forest
 
 THRESHOLD = 4
@@ -163,6 +163,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield from out
         if held:
             yield from compare(held, True)[0]
+        release()
 
     return keyed(nodes).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u bigint, v bigint")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, U64, Words, arrow_schema, crc_mod, free_name, mix64, ngram_hashes, slices, small_batches, text_buffer
+from .common import _BYTE, U64, Words, arrow_schema, crc_mod, free_name, mix64, ngram_hashes, release, slices, small_batches, text_buffer
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 2_400
@@ -162,11 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         table = pa.Table.from_batches(list(batches), schema=pa.schema([("l_doc", pa.int64()), ("l_text", pa.string()), ("toxic", pa.int32())]))
         table = table.sort_by([("l_doc", "ascending"), ("l_text", "ascending")])
         model = train(table["l_text"].combine_chunks(), table["toxic"].to_numpy())
+        del table
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], names=["model"])
 
     rows = rows.select(F.col("l_doc").cast("bigint"), "l_text", F.col("toxic").cast("int"))
-    got = rows.repartition(1).mapInArrow(run, "model binary")
-    return np.frombuffer(got.collect()[0]["model"], np.float32)  # one row of fixed size
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()  # one row of fixed size, none for no labels
+    return np.frombuffer(got[0]["model"], np.float32) if got else train(pa.array([], pa.string()), np.zeros(0, np.int32))
 
 
 def score(df: DataFrame, model: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:
@@ -187,6 +189,7 @@ def score(df: DataFrame, model: np.ndarray, text: str = "text", to: str = "score
             for batch in slices(whole, whole.schema.names[column], 1_000_000):
                 made = score_buffer(*text_buffer(batch.column(column)), held.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], schema=names)
+            release()
 
     return df.select(*[df[f"`{c}`"] for c in rest]).mapInArrow(run, schema)
 
