@@ -16,10 +16,10 @@ def per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> Data
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def merge(runs: list[DataFrame], key: str, limit: int) -> DataFrame:
-    """The first rows of sorted runs merged, ties by run."""
+def merge(runs: list[DataFrame], key: str) -> DataFrame:
+    """Sorted runs merged: their rows with run and pos, the place in the merged order; ties by run."""
     tagged = [r.select(F.lit(i).alias("run"), key) for i, r in enumerate(runs)]
-    return reduce(DataFrame.unionAll, tagged).orderBy(key, "run").limit(limit)
+    return numbered(reduce(DataFrame.unionAll, tagged), [F.col(key).asc(), F.col("run").asc()], "pos")
 
 
 def numbered(df: DataFrame, order: list[Column], to: str, parts: int = 16) -> DataFrame:

@@ -157,12 +157,12 @@ def catalog_settings(spark, d):
     return spark.createDataFrame([(k, n, v) for k in catalogs.REMOTE for n, v in catalogs.remote_settings("x", k, "http://host").items()], "kind string, name string, value string")
 
 
-@register("catalog_filesystem", (63, 64, 65), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 100")
+@register("catalog_filesystem", (63, 64, 65), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def catalog_filesystem(spark, d):
     cat = catalogs.FilesystemCatalog(spark, fresh(spark, "catalog"))
     cat.create_namespace("shop")
     orders(spark, d).write.parquet(cat.location("shop", "orders"))
-    cat.create_view("shop", "small", "SELECT o_orderkey, o_totalprice FROM shop_orders WHERE o_orderkey < 100")
+    cat.create_view("shop", "small", "SELECT o_orderkey, o_totalprice FROM shop_orders WHERE o_totalprice > 100000")
     cat.open(*[(n, t) for n in cat.namespaces() for t in cat.tables(n) if not t.startswith("_")][0]).createOrReplaceTempView("shop_orders")
     return spark.sql(cat.view("shop", "small"))
 
@@ -213,9 +213,9 @@ def delta_vectors(spark, d):
     return t.read()
 
 
-@register("delta_merge", (44,), f"SELECT * FROM ({ORDERS}) WHERE o_orderkey NOT BETWEEN 50 AND 60 UNION ALL SELECT o_orderkey, o_custkey, 'X', 1.0, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey BETWEEN 50 AND 60 UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'X', 1.0, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey BETWEEN 50 AND 60")
+@register("delta_merge", (44,), f"SELECT * FROM ({ORDERS}) WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, o_custkey, 'X', 1.0, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'X', 1.0, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P'")
 def delta_merge(spark, d):
-    t, rows = delta(spark, d), orders(spark, d).filter("o_orderkey BETWEEN 50 AND 60").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(1.0)})
+    t, rows = delta(spark, d), orders(spark, d).filter("o_orderstatus = 'P'").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(1.0)})
     t.merge(rows.unionAll(rows.withColumn("o_orderkey", c("o_orderkey") + 1_000_000)), "o_orderkey")
     return t.read()
 
@@ -251,7 +251,7 @@ def delta_changes(spark, d):
     return t.changes(v, v).select("o_orderkey", c("_change_type").alias("change"))
 
 
-@register("delta_mapped_generated", (39, 40), "SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE o_orderkey < 500")
+@register("delta_mapped_generated", (39, 40), "SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INT) AS year FROM orders")
 def delta_mapped(spark, d):
     from pyspark.sql import types as T
 
@@ -260,7 +260,7 @@ def delta_mapped(spark, d):
         T.StructField("year", T.IntegerType(), True, {"delta.columnMapping.physicalName": "col-3", "delta.generationExpression": "YEAR(day)"})])
     t = DeltaTable(spark, fresh(spark, "delta"))
     t.create(schema, (), {"delta.columnMapping.mode": "name"})
-    t.append(orders(spark, d).filter("o_orderkey < 500").select(c("o_orderkey").alias("key"), c("o_date").alias("day")))
+    t.append(orders(spark, d).select(c("o_orderkey").alias("key"), c("o_date").alias("day")))
     return t.read()
 
 
@@ -306,10 +306,10 @@ def iceberg_deletes(spark, d):
     return t.read()
 
 
-@register("iceberg_overwrite_compact", (59, 61), ORDERS + " WHERE o_orderkey < 700")
+@register("iceberg_overwrite_compact", (59, 61), ORDERS + " WHERE o_orderstatus = 'F'")
 def iceberg_overwrite(spark, d):
     t = iceberg(spark, d)
-    t.overwrite(orders(spark, d).filter("o_orderkey < 700"))
+    t.overwrite(orders(spark, d).filter("o_orderstatus = 'F'"))
     t.compact()
     t.expire()
     t.orphans(remove=True)
@@ -363,11 +363,11 @@ def stream_windows(spark, d):
     return spark.table(name).select(c("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "s")
 
 
-@register("stream_stateful", (302,), "SELECT event_id, ROUND(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), lambda a, b: 0.3 * b + 0.7 * a), 6) AS ema FROM events WHERE user_id < 40")
+@register("stream_stateful", (302,), "SELECT event_id, ROUND(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), lambda a, b: 0.3 * b + 0.7 * a), 6) AS ema FROM events")
 def stream_stateful(spark, d):
     rows, at = events_stream(spark, d)
     out = f"{at}-out"
-    made = stream.ema_by_key(rows.filter("user_id < 40"), "user_id", ["event_id"], "value", 0.3, carry=["event_id"])
+    made = stream.ema_by_key(rows, "user_id", ["event_id"], "value", 0.3, carry=["event_id"])
     stream.Pipeline(made).run(f"{at}-state", sink=lambda batch, n: batch.write.mode("append").parquet(out))
     return spark.read.schema("user_id bigint, event_id bigint, ema double").parquet(out).select("event_id", F.round("ema", 6).alias("ema"))
 

@@ -203,15 +203,15 @@ def sort_multi_key(spark, d):
     return topk.numbered(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), [c("o_orderpriority").asc(), c("o_totalprice").desc(), c("o_orderkey").asc()], "pos").select("o_orderkey", "pos")
 
 
-@register("sort_in_row", (196,), "SELECT o_custkey, list_sort(list(o_orderkey)) AS keys FROM orders WHERE o_custkey < 50 GROUP BY 1")
+@register("sort_in_row", (196,), "SELECT o_custkey, list_sort(list(o_orderkey)) AS keys FROM orders GROUP BY 1")
 def sort_in_row(spark, d):
-    return table(spark, d, "orders").filter("o_custkey < 50").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
 
 
-@register("merge_sorted_runs", (197,), "SELECT run, k FROM (SELECT 0 AS run, c_custkey AS k FROM customer UNION ALL SELECT 1, s_suppkey FROM supplier) ORDER BY k, run LIMIT 150")
+@register("merge_sorted_runs", (197,), "SELECT run, k, ROW_NUMBER() OVER (ORDER BY k, run) AS pos FROM (SELECT 0 AS run, c_custkey AS k FROM customer UNION ALL SELECT 1, s_suppkey FROM supplier)")
 def merge_runs(spark, d):
     runs = [table(spark, d, "customer").select(c("c_custkey").alias("k")), table(spark, d, "supplier").select(c("s_suppkey").alias("k"))]
-    return topk.merge(runs, "k", 150).select("run", "k")
+    return topk.merge(runs, "k").select("run", "k", "pos")
 
 
 @register("top_k", (198,), "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
@@ -248,9 +248,9 @@ SETS = {
 
 
 def _set_query(name: str, row: int, word: str) -> None:
-    @register(f"set_{name}", (row,), f"SELECT o_custkey % 50 AS k FROM orders WHERE o_orderkey < 3000 {word} SELECT CAST(c_custkey % 70 AS BIGINT) AS k FROM customer")
+    @register(f"set_{name}", (row,), f"SELECT o_custkey % 50 AS k FROM orders {word} SELECT CAST(c_custkey % 70 AS BIGINT) AS k FROM customer")
     def run(spark, d) -> DataFrame:
-        a = table(spark, d, "orders").filter("o_orderkey < 3000").select((c("o_custkey") % 50).alias("k"))
+        a = table(spark, d, "orders").select((c("o_custkey") % 50).alias("k"))
         b = table(spark, d, "customer").select((c("c_custkey") % 70).alias("k"))
         return setops.OPERATIONS[name](a, b)
 

@@ -136,16 +136,20 @@ def graph_csr(spark, d):
     return graph.offsets(table(spark, d, "orders").select("o_custkey"), "o_custkey").select("o_custkey", "degree", "first")
 
 
-@register("graph_expand", (299,), "SELECT s.k, o_orderkey FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey < 40 UNION ALL SELECT 7) s JOIN orders ON o_custkey = s.k WHERE o_orderpriority = '1-URGENT'")
+@register("graph_expand", (299,), "SELECT s.k, o_orderkey FROM (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 7) s JOIN orders ON o_custkey = s.k WHERE o_orderpriority = '1-URGENT'")
 def graph_expand(spark, d):
-    sources = table(spark, d, "customer").filter("c_custkey < 40").select(c("c_custkey").alias("k")).unionAll(spark.range(1).select(F.lit(7).cast("bigint")))
+    sources = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("k")).unionAll(spark.range(1).select(F.lit(7).cast("bigint")))
     return graph.expand(sources, table(spark, d, "orders"), "k", "o_custkey", "o_orderkey", c("o_orderpriority") == "1-URGENT").select("k", "o_orderkey")
 
 
-@register("graph_hops", (299,), "SELECT DISTINCT p2.l_suppkey % 40 AS node, 2 AS hop FROM lineitem p1 JOIN lineitem p2 ON p2.l_partkey % 40 = p1.l_suppkey % 40 WHERE p1.l_partkey % 40 = 3 AND p1.l_orderkey < 40 AND p2.l_orderkey < 40 AND p2.l_suppkey % 40 <> 3 AND p2.l_suppkey % 40 NOT IN (SELECT l_suppkey % 40 FROM lineitem WHERE l_partkey % 40 = 3 AND l_orderkey < 40)")
+@register("graph_hops", (299,), "SELECT DISTINCT 'r' || n_regionkey AS node, 2 AS hop FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
 def graph_hops(spark, d):
-    edges = table(spark, d, "lineitem").filter("l_orderkey < 40").select((c("l_partkey") % 40).alias("src"), (c("l_suppkey") % 40).alias("dst"))
-    return graph.hops(spark.range(1).select(F.lit(3).cast("bigint").alias("k")), edges, "k", "src", "dst", 2).filter("hop = 2").select("node", "hop")
+    """From customers over nations to regions."""
+    name = lambda kind, k: F.concat(F.lit(kind), c(k).cast("string"))
+    customers, nations = table(spark, d, "customer"), table(spark, d, "nation")
+    edges = customers.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")).unionAll(nations.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    sources = customers.filter("c_mktsegment = 'BUILDING'").select(name("c", "c_custkey").alias("k"))
+    return graph.hops(sources, edges, "k", "src", "dst", 2).filter("hop = 2").select("node", "hop")
 
 
 @register("chat_template", (305,), "SELECT conv_id, string_agg(role || ': ' || COALESCE(text, '') || CASE WHEN last THEN '' ELSE chr(10) END, '' ORDER BY turn) AS prompt FROM (SELECT *, turn = MAX(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY 1")
@@ -156,26 +160,26 @@ def chat_template(spark, d):
 
 @register("token_sampling", (306, 307))
 def token_sampling(spark, d):
-    """Sampling from penalized logits: the first eight vector components, draws from the id."""
-    logits = F.slice(c("embedding"), 1, 8)
-    counts = F.array(*[F.lit(int(i == 2)) for i in range(8)])
+    """Sampling from penalized logits: the vector's components, draws from the id."""
+    logits = c("embedding")
+    counts = F.transform(logits, lambda x, i: (i == 2).cast("int"))
     draw = (c("vec_id") % 100 + 0.5) / 100
     return table(spark, d, "embeddings").select("vec_id", V.sample(V.penalize(logits, counts, 1.2, 0.1, 0.05), draw, 5, 0.8, 0.05, 0.9).alias("token"))
 
 
 @register("tensor_helpers", (308,), """SELECT vec_id, ROUND(list_max(list_transform(e, lambda v: exp(v - list_max(e)))) / list_sum(list_transform(e, lambda v: exp(v - list_max(e)))), 6) AS sm,
-    ROUND(e[1] / sqrt(list_inner_product(e, e) / 8 + 1e-6), 6) AS rms, ROUND(e[1] / (exp(-e[1]) + 1) * e[2], 6) AS sg, ROUND(e[1] + 2 * e[2], 6) AS mv FROM (SELECT vec_id, (embedding::DOUBLE[])[1:8] AS e FROM embeddings)""")
+    ROUND(e[1] / sqrt(list_inner_product(e, e) / len(e) + 1e-6), 6) AS rms, ROUND(e[1] / (exp(-e[1]) + 1) * e[2], 6) AS sg, ROUND(e[1] + 2 * e[2], 6) AS mv FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
 def tensor_helpers(spark, d):
-    e = F.slice(c("embedding"), 1, 8).cast("array<double>")
-    two = F.slice(c("embedding"), 2, 8).cast("array<double>")
-    made = {"sm": F.array_max(V.softmax(e)), "rms": F.get(V.rms_norm(e), F.lit(0)), "sg": F.get(V.swiglu(e, two), F.lit(0)), "mv": F.get(V.mat_vec([[1.0, 2.0, 0, 0, 0, 0, 0, 0]], e), F.lit(0))}
+    e = c("embedding").cast("array<double>")
+    two = F.transform(e, lambda x, i: F.get(e, i + 1))
+    made = {"sm": F.array_max(V.softmax(e)), "rms": F.get(V.rms_norm(e), F.lit(0)), "sg": F.get(V.swiglu(e, two), F.lit(0)), "mv": F.get(V.mat_vec([[1.0, 2.0]], F.slice(e, 1, 2)), F.lit(0))}
     return table(spark, d, "embeddings").select("vec_id", *[F.round(v, 6).alias(k) for k, v in made.items()])
 
 
 @register("tensor_rope", (308,))
 def tensor_rope(spark, d):
     """Rotary positions keep norms."""
-    e = F.slice(c("embedding"), 1, 8).cast("array<double>")
+    e = c("embedding").cast("array<double>")
     turned = V.rope(e, c("vec_id"))
     return table(spark, d, "embeddings").select("vec_id", (F.abs(V.inner_product(turned, turned) - V.inner_product(e, e)) < 1e-9).alias("kept"))
 
