@@ -58,6 +58,23 @@ def parquet_round_trip(spark, d):
     return spark.read.parquet(at).filter(c("o_orderkey").between(2000, 2500)).select("o_orderkey", "o_totalprice")
 
 
+@register("parquet_delta_packed", (310,), "SELECT o_orderkey, o_custkey FROM orders")
+def parquet_delta_packed(spark, d):
+    """Sorted ids in Parquet's second data pages, which keep differences in packed blocks."""
+    at = fresh(spark, "packed")
+    orders(spark, d).select("o_orderkey", "o_custkey").sortWithinPartitions("o_orderkey").write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(at)
+    return spark.read.parquet(at)
+
+
+@register("cached_lookup", (312,), "SELECT n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_name, COUNT(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def cached_lookup(spark, d):
+    """A small table kept in memory for two lookups."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name").cache()
+    a = table(spark, d, "customer").join(nation, c("c_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    b = table(spark, d, "supplier").join(nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    return a.unionAll(b)
+
+
 @register("parquet_column_range", (7, 8), "SELECT MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi, COUNT(*) FILTER (WHERE o_orderkey IS NULL) AS nulls FROM orders")
 def parquet_range(spark, d):
     return files.column_range(table(spark, d, "orders"), "o_orderkey")
