@@ -91,7 +91,7 @@ def join_bloom(spark, d):
     return J.filtered_join(table(spark, d, "lineitem").select("l_orderkey"), urgent, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@register("join_skewed", (140, 141), "SELECT s, COUNT(*) AS n, CAST(SUM(n_nationkey) AS BIGINT) AS k FROM (SELECT IF(l_orderkey % 3 = 0, 0, l_suppkey % 25) AS s FROM lineitem) JOIN nation ON s = n_nationkey GROUP BY 1")
+@register("join_skewed", (140, 141), "SELECT s, COUNT(*) AS n, CAST(SUM(n_nationkey) AS BIGINT) AS k FROM (SELECT CAST(IF(l_orderkey % 3 = 0, 0, l_suppkey % 25) AS INT) AS s FROM lineitem) JOIN nation ON s = n_nationkey GROUP BY 1")
 def join_skewed(spark, d):
     lines = table(spark, d, "lineitem").select(F.when(c("l_orderkey") % 3 == 0, 0).otherwise(c("l_suppkey") % 25).cast("int").alias("s"))
     return J.salted_join(lines, table(spark, d, "nation"), "s", "n_nationkey", 8).groupBy("s").agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("k"))
