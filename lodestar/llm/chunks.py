@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, release, small_batches, text_buffer
+from .common import U64, mix64, release, small_batches, text_buffer
 
 MESSAGE = "part int, chunk bigint, kind string, a binary, b binary, c binary"
 MESSAGE_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -26,7 +26,7 @@ MESSAGE_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind",
 def parts_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """Parts of the hash range, in proportion to the input's size."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return int(min(1 << 16, max(16, size // bytes_each)))
+    return int(min(1 << 20, max(16, size // bytes_each)))
 
 
 def packed(df: DataFrame, text: str, order: str, max_bytes: int) -> DataFrame:
@@ -89,6 +89,11 @@ def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges, side="left"), [len(keys)]])
 
 
+def home_part(chunk: int, parts: int) -> int:
+    """The part that keeps what a chunk must hear again; chunk numbers are even in their low bits, so they are mixed."""
+    return int(mix64(np.array([chunk], U64))[0] % U64(parts))
+
+
 def messages(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[] for _ in MESSAGE_ARROW]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MESSAGE_ARROW)], schema=MESSAGE_ARROW)

@@ -249,7 +249,7 @@ def scores(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id") ->
             who = pack_sorted(t.keys[h[a:b][first]])
             of_word = np.where(mine[a:b] > 0, count[w[a:b]], 0)  # needed where the pair was seen
             out.append((p, chunk, kind, blobs(who, pack_ints(size), stats.encode()), blobs(pack_ints(t.keys[w[a:b]] >> U64(16)), pack_ints(of_word)), pack_ints(mine[a:b])))
-        out.append((int(chunk % parts), chunk, "echo", pack_ints(count), stats.encode(), None))
+        out.append((C.home_part(chunk, parts), chunk, "echo", pack_ints(count), stats.encode(), None))
         return C.messages(out)
 
     def evaluate(chunk, batch, rows):

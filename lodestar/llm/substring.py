@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks as C
-from .common import U64, Words, arrow_schema, free_name, ngram_hashes, pack_ints, pack_sorted, text_buffer, unpack_ints, unpack_sorted
+from .common import U64, Words, arrow_schema, free_name, mix64, ngram_hashes, pack_ints, pack_sorted, text_buffer, unpack_ints, unpack_sorted
 
 WINDOW = 20
 SHINGLE = 5
@@ -49,16 +49,18 @@ class Windows:
             step = min(done, width - done)
             low = np.minimum(low[: len(low) - step], low[step:])
             done += step
-        anchor = low[self.start] if len(self.start) else np.zeros(0, U64)
+        # mixed again: least hashes crowd at the low end, and parts are ranges of hashes
+        anchor = mix64(low[self.start]) if len(self.start) else np.zeros(0, U64)
         self.anchors, self.anchor_of = np.unique(anchor, return_inverse=True)
         self.windows_of = np.bincount(self.anchor_of, minlength=len(self.anchors))
         self.grams = grams
 
     def repeated_here(self) -> np.ndarray:
         """Whether an anchor's shingle occurs more than once in the chunk."""
-        at = np.searchsorted(self.anchors, self.grams)
+        grams = mix64(self.grams)
+        at = np.searchsorted(self.anchors, grams)
         at[at == len(self.anchors)] = 0
-        hit = self.anchors[at] == self.grams if len(self.anchors) else np.zeros(len(self.grams), bool)
+        hit = self.anchors[at] == grams if len(self.anchors) else np.zeros(len(grams), bool)
         return np.bincount(at[hit], minlength=len(self.anchors)) > 1
 
     def seeded(self, anywhere: np.ndarray):
@@ -114,14 +116,31 @@ def _first_windows(part: int, rows: list) -> list[tuple]:
     return out
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def _cut(words: Words, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Each text without the bytes of word spans, up to the next word if the text has one."""
+    n = len(words.buf)
+    if len(begin):
+        last = np.searchsorted(words.bounds, begin, side="right")  # the text's end among the bounds
+        inside = end < words.bounds[last]
+        to = np.where(inside, words.start[np.minimum(end, len(words.start) - 1)], words.end[end - 1])
+        gone = np.cumsum(np.bincount(words.start[begin], minlength=n + 1) - np.bincount(to, minlength=n + 1))[:n] > 0
+    else:
+        gone = np.zeros(n, bool)
+    at = np.concatenate([[0], np.cumsum(~gone)])[words.offsets].tolist()
+    raw = words.buf[~gone].tobytes()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, shingle: int = SHINGLE, layout: bool = False) -> DataFrame:
     """Adds n_words, n_removed, kept_text and repeats (removed word spans, end exclusive) to each row.
 
     A word is removed if a window of `window` words over it has the word
     sequence of a window that starts earlier: at a smaller id, or before it in
     the same document. Null text: no words. Rows without an id come after all
     others; of rows that share an id the one in the earlier chunk comes first.
-    Texts shorter than a window lose nothing. Columns of the added names are
+    Texts shorter than a window lose nothing. kept_text is the kept words joined
+    by one space, or with `layout` the text as it was, less each removed passage
+    and the space after it. Columns of the added names are
     replaced. An empty table gives no rows.
     """
     added = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string", "repeats": "array<struct<start:bigint,end:bigint>>"}
@@ -145,7 +164,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
         doc = batch.column(len(rest)).to_numpy()[made.text[ok[first]]].astype(np.int64)
         edge = C.part_bounds(distinct, parts)
         out = [(p, chunk, "windows", pack_sorted(distinct[a:b]), pack_ints(doc[a:b]), None) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-        return C.messages(out + [(int(chunk % parts), chunk, "echo", *_reply(anywhere), None)])
+        return C.messages(out + [(C.home_part(chunk, parts), chunk, "echo", *_reply(anywhere), None)])
 
     def remove(chunk, batch, rows):
         made = Windows(batch, column, window, shingle)
@@ -171,7 +190,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
             pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)),
             pa.StructArray.from_arrays([pa.array(begin - base, pa.int64()), pa.array(end - base, pa.int64())], names=["start", "end"]),
         )
-        kept = pa.array([b.decode() for b in words.joined(~cover)], pa.string())
+        kept = pa.array([b.decode() for b in (_cut(words, begin, end) if layout else words.joined(~cover))], pa.string())
         columns = [*batch.columns[: len(rest)], pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), kept, spans]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, names)], schema=names)
 
@@ -182,8 +201,8 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
 
 def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df with each text less its repeated passages; texts that lose nothing stay as they are, character for character."""
-    made = dedup(df, text, doc_id)
-    new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`{text}`"))
+    made = dedup(df, text, doc_id, layout=True)
+    new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`{text}`"))  # a null text stays null
     return made.select(*[new.alias(c) if c.lower() == text.lower() else made[f"`{c}`"] for c in df.columns])
 
 
