@@ -4,6 +4,31 @@ from __future__ import annotations
 
 from . import bpe, chat, katz, media, neighbours, pack, pii, simhash, substring, toxicity
 
+
+
+def _chat_sql() -> str:
+    """Turns and targets straight from the table, and the length of what the windows hold from their definition."""
+    shown = "{}"
+    for raw, code in chat.ESCAPES:
+        shown = f"replace({shown}, '{raw}', '{code}')"
+    role = f"replace({shown.format('role')}, chr(10), '{chat.NEWLINE[1]}')"
+    length = f"length({role}) + length({shown.format('text')}) + {len(chat.BEGIN) + 1 + len(chat.END)}"
+    return f"""
+WITH source AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (SELECT *, ROW_NUMBER() OVER o AS idx, CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}.0) AS BIGINT) + {chat.TURN_TOKENS} AS tokens,
+  SUM(CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}.0) AS BIGINT) + {chat.TURN_TOKENS}) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS total, {length} AS shown
+  FROM source WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+placed AS (SELECT *, (total - 1) // {chat.BUDGET // 2} AS w FROM turns),
+firsts AS (SELECT conv_id, w, MIN(idx) AS first FROM placed GROUP BY 1, 2),
+again AS (SELECT f.conv_id, SUM(p.shown) AS shown FROM firsts f JOIN placed p ON p.conv_id = f.conv_id AND p.idx < f.first
+  AND ((p.idx = 1 AND p.role = 'system') OR (p.idx >= f.first - {chat.HISTORY} AND p.tokens <= {chat.HISTORY_TOKENS})) GROUP BY 1),
+whole AS (SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+  COALESCE(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '') AS loss, SUM(shown) AS shown FROM placed GROUP BY 1)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(whole.shown + COALESCE(again.shown, 0) AS BIGINT) AS formatted_chars
+FROM whole LEFT JOIN again USING (conv_id)"""
+
+
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
@@ -17,4 +42,16 @@ QUERIES = {
     "op10_media_columns": media.op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS w FROM texts, LATERAL (SELECT UNNEST(range(1, len(words) - 18)) AS s)),
+again AS (SELECT doc_id, s FROM windows QUALIFY ROW_NUMBER() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+covered AS (SELECT DISTINCT doc_id, UNNEST(range(s, s + 20)) AS i FROM again),
+each AS (SELECT doc_id, i, words[i] AS word FROM texts, LATERAL (SELECT UNNEST(range(1, len(words) + 1)) AS i)),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept FROM each e ANTI JOIN covered c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY 1),
+gone AS (SELECT doc_id, COUNT(*) AS n FROM covered GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+    "op8_chat_windows": _chat_sql(),
+}

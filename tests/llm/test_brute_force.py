@@ -74,7 +74,17 @@ def test_substring(docs, rows, chunk, monkeypatch):
     assert got == want
 
 
-def test_simhash(docs, rows):
+def test_substring_keeps_layout(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage), (2, f"head\n\n{passage}\ntail  é\n"), (3, f"a {passage}"), (4, f"{passage}\n"), (5, "x\ty ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in substring.without_repeats(df).collect()}
+    assert got == {1: passage, 2: "head\n\ntail  é\n", 3: "a ", 4: "\n", 5: "x\ty "}
+
+
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_simhash(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
     prints = []
     for i, text in sorted(rows):
         w = WORD.findall(lower(text))
