@@ -36,6 +36,8 @@ CODED = 15
 NO_ID = 2**63 - 1
 #: Pairs compared at once, and rows held before whole anchors are compared.
 TILE, ROWS = 2_000_000, 200_000
+#: Fingerprints at home at an anchor beyond which it is split.
+HOT = 20_000
 KEYED = "anchor int, fp bigint, node bigint, home boolean"
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -101,8 +103,8 @@ def anchors(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
     return out
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """Replicates (fp, node) to its anchors."""
+def keyed(nodes: DataFrame, home_only: bool = False) -> DataFrame:
+    """Replicates (fp, node) to its anchors, or to its home anchors only."""
     names = arrow_schema(KEYED)
 
     def run(batches):
@@ -110,6 +112,8 @@ def keyed(nodes: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 20_000):
                 fp, node = (whole.column(i).slice(at, 20_000).to_numpy(zero_copy_only=False) for i in (0, 1))
                 for rows, anchor, home in anchors(fp.view(U64)):
+                    if home_only and not home:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[rows]), pa.array(node[rows]), pa.array(np.full(len(rows), home))], schema=names)
 
     return nodes.select("fp", "node").mapInArrow(run, KEYED)
@@ -134,6 +138,23 @@ def linked(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarra
         at = to
 
 
+def tiled(nodes: DataFrame) -> DataFrame:
+    """Rows at their anchors, with tile: an anchor with over HOT fingerprints at home is dealt out by them, and met in each tile by all of its rows.
+
+    Each pair that the whole anchor would compare is compared in one tile.
+    Where no anchor is that large, none is split and no row moves for it.
+    """
+    size = keyed(nodes, home_only=True).groupBy(F.col("anchor").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    size = checkpoint(size)
+    if size.isEmpty():
+        return keyed(nodes).withColumn("tile", F.lit(0))
+    tiles = F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int")
+    rows = keyed(nodes).join(size, F.col("anchor") == F.col("hot"), "left").select("anchor", "fp", "node", "home", tiles.alias("tiles"))
+    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")) == F.col("tile")
+    return rows.select("anchor", "fp", "node", (F.col("home") & own).alias("home"), "tile")
+
+
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Edges (u, v) that connect nodes as all links within the threshold do."""
     if not 0 <= threshold < 2 * len(BLOCKS):
@@ -145,7 +166,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
         def compare(rows: list[pa.RecordBatch], last: bool):
             table = pa.Table.from_batches(rows)
-            anchor = table["anchor"].to_numpy()
+            anchor = table["tile"].to_numpy().astype(np.int64) << 32 | table["anchor"].to_numpy()  # ascending, as sorted below
             stop = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1], side="left"))
             part = table.slice(0, stop)
             found = linked(anchor[:stop], part["fp"].to_numpy().view(U64), part["node"].to_numpy(), part["home"].to_numpy(), threshold)
@@ -165,7 +186,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield from compare(held, True)[0]
         release()
 
-    return keyed(nodes).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u bigint, v bigint")
+    return tiled(nodes).repartition("tile", "anchor").sortWithinPartitions("tile", "anchor").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
@@ -179,6 +200,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     """
     made = checkpoint(fingerprints(df, text, doc_id))
     known = made.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"))
+    known = checkpoint(known)
     edges = links(known, threshold)
     # rows that share an id join their fingerprints' components
     shared = made.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id")
