@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys whose sums a task holds before it hands them on.
+HELD_KEYS = 100_000
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's correlation; 0 for under two rows or no variance."""
     return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
@@ -26,8 +30,16 @@ def compensated_sum(df: DataFrame, key: str, value: str) -> DataFrame:
                     held.setdefault(k, []).append(v)
             for k, values in held.items():
                 held[k] = _expansion(values)
+            if len(held) >= HELD_KEYS:
+                yield made(held, batch.schema.field(0).type)
+                held = {}
+            kind = batch.schema.field(0).type
+        if held:
+            yield made(held, kind)
+
+    def made(held: dict, kind: pa.DataType) -> pa.RecordBatch:
         rows = [(k, v) for k, values in held.items() for v in values]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64())], names=[key, "part"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.float64())], names=[key, "part"])
 
     def final(table: pa.Table) -> pa.Table:
         return pa.table({key: table[key][:1], "sum": pa.array([math.fsum(table["part"].to_pylist())], pa.float64())})

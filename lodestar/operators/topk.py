@@ -22,12 +22,14 @@ def merge(runs: list[DataFrame], key: str) -> DataFrame:
     return numbered(reduce(DataFrame.unionAll, tagged), [F.col(key).asc(), F.col("run").asc()], "pos")
 
 
-def numbered(df: DataFrame, order: list[Column], to: str, parts: int = 16) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], to: str, parts: int | None = None) -> DataFrame:
     """Adds each row's place in the total order, from 1.
 
     Range partitions are ranked apart and offset by the sizes of those before;
-    only one count a partition meets in one task.
+    only one count a partition meets in one task. By default there are as many
+    partitions as the session has for shuffles.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpoint(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))  # else the sampled bounds may differ between uses
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))

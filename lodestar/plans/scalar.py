@@ -9,6 +9,7 @@ from ..catalog import register, table
 from ..functions import numeric as N
 from ..functions import strings as S
 from ..functions import temporal as D
+from ..operators.topk import numbered
 
 c = F.col
 
@@ -206,10 +207,8 @@ def regex_functions(spark, d):
 
 @register("dictionary_codes", (128, 124), "SELECT p_brand, CAST(ROW_NUMBER() OVER (ORDER BY p_brand) - 1 AS INT) AS code, COUNT(*) AS n FROM part GROUP BY p_brand")
 def dictionary_codes(spark, d):
-    from pyspark.sql import Window
-
     terms = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))  # the codes rank the distinct terms alone
-    return terms.select("p_brand", (F.row_number().over(Window.orderBy("p_brand")) - 1).alias("code"), "n")
+    return numbered(terms, [c("p_brand").asc()], "place").select("p_brand", (c("place") - 1).cast("int").alias("code"), "n")
 
 
 @register("term_dictionary", (129,), "SELECT c_name, c_custkey FROM customer WHERE starts_with(c_name, 'Customer#00000001') OR c_name BETWEEN 'Customer#000000100' AND 'Customer#000000120' OR c_name = 'Customer#000000777'")
