@@ -193,3 +193,28 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def test_sessions(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:04:00"), (1, "2024-01-01 01:00:00")], "k int, t string").select("k", F.to_timestamp("t").alias("ts"))
     assert sorted(r["n"] for r in pipeline.sessions(df, "ts", "1 hour", "5 minutes", ["k"], F.count("*").alias("n")).collect()) == [1, 2]
+
+
+def test_iceberg_manifests_follow_the_format(spark, tmp_path):
+    from lodestar.sources import avro as A
+
+    t = IcebergTable(spark, str(tmp_path / "t"))
+    t.create(T.StructType([T.StructField("id", T.LongType()), T.StructField("day", T.DateType())]), {"day": "identity", "id": "bucket[4]"})
+    df = spark.sql("SELECT 7L AS id, DATE'1969-12-31' AS day UNION ALL SELECT NULL, DATE'2024-02-29'")
+    t.append(df)
+    meta = t.metadata()
+    snap = meta["snapshots"][-1]
+    schema, listed = A.read_container(t.store.read(t._local(meta, snap["manifest-list"])))
+    assert {f["name"]: f["field-id"] for f in schema["fields"]}["manifest_path"] == 500
+    entry = next(iter(listed))
+    assert (entry["sequence_number"], entry["added_files_count"], entry["added_rows_count"], entry["content"]) == (1, 2, 2, 0)
+    schema, rows = A.read_container(t.store.read(t._local(meta, entry["manifest_path"])))
+    files = [r["data_file"] for r in rows]
+    assert sorted((f["partition"]["day"], f["partition"]["id_bucket"]) for f in files if f["partition"]["id_bucket"] is not None) == [(-1, bucket_of(7, 4))]
+    assert all(isinstance(f["lower_bounds"], list) and f["record_count"] == 1 for f in files)
+    t.rename_column("id", "key")
+    assert sorted((r["key"] or 0) for r in t.read().collect()) == [0, 7]
+    import pyarrow.parquet as pq
+
+    path = next((tmp_path / "t" / "data").rglob("*.parquet"))
+    assert {f.name: f.metadata[b"PARQUET:field_id"] for f in pq.read_schema(path)} == {"id": b"1", "day": b"2"}
