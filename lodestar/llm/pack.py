@@ -51,9 +51,9 @@ def pieces(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, tex
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 rows = []
-                ids = bpe.encode_bytes(["" if t is None else t for t in batch.column(1).to_pylist()])
+                ids = bpe.encode_batch(["" if t is None else t for t in batch.column(1).to_pylist()])
                 for doc, raw in zip(batch.column(0).to_pylist(), ids):
-                    raw += b"\0\0\0\0"
+                    raw = raw.tobytes() + b"\0\0\0\0"  # little-endian
                     for k, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                         rows.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), part, int(seen[length])))
                         seen[length] += 1

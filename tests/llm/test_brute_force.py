@@ -154,6 +154,31 @@ def test_bpe_like_tiktoken(spark, docs, rows):
         assert all(coder.decode(x) == f.encode() for x, f in zip(made, fuzz))
 
 
+@pytest.mark.parametrize("chars", [1, 60, 10**6])
+def test_pieces_like_the_pattern(chars, monkeypatch):
+    """Contractions, white space and the ends of texts, where texts are split together."""
+    import regex
+
+    monkeypatch.setattr(bpe, "CHARS", chars)
+    assert PATTERN == bpe.PLAIN_PATTERN
+    rng, split = random.Random(7), regex.compile(PATTERN).findall
+    texts = ["".join(rng.choices("''''strevmldST  \n\t1!é²　😀", k=rng.randint(0, 30))) for _ in range(1_000)]
+    whole = "".join(texts)
+    start, end, bounds, key = bpe.Splitter().pieces(whole, np.array([len(t) for t in texts]))
+    pieces = [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    assert [pieces[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())] == [split(t) for t in texts]
+    assert len(set(key.tolist())) == len(set(pieces)) == len(set(zip(key.tolist(), pieces)))
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    assert [x.tolist() for x in bpe.Bpe(RANKS, PATTERN).encode_batch(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_other_patterns():
+    """A pattern that isn't the plain one goes through the regex library."""
+    own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    texts = ["a b  c", "", "don't é"]
+    assert [x.tolist() for x in bpe.Bpe(RANKS, r"\S+|\s+").encode_batch(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, ch in enumerate(reversed(digits)):
