@@ -13,7 +13,7 @@ import time
 import uuid
 import zlib
 from dataclasses import dataclass, field
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,13 @@ Z85 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-:+=^!/*?&
 VECTOR_MAGIC = 1681511377
 
 
+def json_value(text: str | None, kind: T.DataType):
+    """A statistic for the log: numbers as numbers, but for those that JSON has no form of."""
+    if text is None or text in ("NaN", "Infinity", "-Infinity"):
+        return None
+    return typed(text, kind) if isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType, T.BooleanType)) else text
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer has made this version."""
 
@@ -73,9 +80,28 @@ def _physical(schema: T.StructType) -> dict[str, str]:
     return {f.name: (f.metadata or {}).get("delta.columnMapping.physicalName", f.name) for f in schema}
 
 
+def typed(text, kind: T.DataType):
+    """A statistic or partition value, which logs keep as text or as JSON's own, as its column's type."""
+    if text is None:
+        return None
+    if isinstance(kind, T.IntegralType):
+        return int(text)
+    if isinstance(kind, T.FractionalType):
+        return float(text)
+    return str(text).lower() == "true" if isinstance(kind, T.BooleanType) else text
+
+
 class DeltaTable:
+    """A table under a path. Files go by their paths in the log, which are URL-encoded and relative."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.store = spark, path.rstrip("/"), Storage(spark, path)
+        self.root = self.store.path("").toUri().getPath()
+
+    def _relative(self, place: Column) -> Column:
+        """A file's place under the root, as it is on disk, of its encoded URL."""
+        plain = F.url_decode(F.replace(place, F.lit("+"), F.lit("%2B")))
+        return F.substr(plain, F.instr(plain, self.root) + F.lit(len(self.root) + 1))
 
     # the log
 
@@ -182,13 +208,13 @@ class DeltaTable:
         found = back.groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).agg(*sums).collect()  # a row a file
         adds = []
         for r in found:
-            relative = unquote(r["f"])[unquote(r["f"]).index(folder) :]
+            relative = unquote(r["f"])[unquote(r["f"]).index(folder) :]  # on disk
             values = {}
             for piece in relative.split("/")[1:-1]:
                 k, _, v = piece.partition("=")
                 values[k] = None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)
-            stats = {"numRecords": r["n"], "minValues": {physical[n]: r[f"lo{i}"] for i, n in enumerate(flat)}, "maxValues": {physical[n]: r[f"hi{i}"] for i, n in enumerate(flat)}, "nullCount": {physical[n]: r[f"nu{i}"] for i, n in enumerate(flat)}}
-            adds.append({"path": relative, "partitionValues": values, "size": r["b"], "modificationTime": int(time.time() * 1000), "dataChange": True, "stats": json.dumps(stats)})
+            stats = {"numRecords": r["n"], "minValues": {physical[n]: json_value(r[f"lo{i}"], s.schema[n].dataType) for i, n in enumerate(flat)}, "maxValues": {physical[n]: json_value(r[f"hi{i}"], s.schema[n].dataType) for i, n in enumerate(flat)}, "nullCount": {physical[n]: r[f"nu{i}"] for i, n in enumerate(flat)}}
+            adds.append({"path": quote(relative, safe="/=-_.~"), "partitionValues": values, "size": r["b"], "modificationTime": int(time.time() * 1000), "dataChange": True, "stats": json.dumps(stats)})
         return adds
 
     def append(self, df: DataFrame, base: int | None = None) -> int:
@@ -227,13 +253,6 @@ class DeltaTable:
 
     def pruned(self, s: Snapshot, conditions: list[tuple[str, str, object]]) -> dict[str, dict]:
         """The files that may hold rows with all (column, op, value); by partition values and statistics, compared as the column's type."""
-        def typed(text, kind):
-            if text is None:
-                return None
-            if isinstance(kind, (T.IntegralType,)):
-                return int(text)
-            return float(text) if isinstance(kind, (T.FractionalType,)) else text
-
         physical, out = _physical(s.schema), {}
         for path, add in s.files.items():
             stats, ok = json.loads(add.get("stats") or "{}"), True
@@ -266,15 +285,13 @@ class DeltaTable:
         if not files:
             return self.spark.createDataFrame([], s.schema).withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("bigint")})
         data = T.StructType([T.StructField(physical[f.name], f.dataType) for f in s.schema if f.name not in parts])
-        rows = self.spark.read.schema(data).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{p}" for p in files])
-        place = F.col("_metadata.file_path")
-        rows = rows.withColumns({"_file": F.url_decode(F.element_at(F.split(place, "/data-"), -1)), "_row": F.col("_metadata.row_index")})
-        rows = rows.withColumn("_file", F.concat(F.lit("data-"), "_file"))
+        rows = self.spark.read.schema(data).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{unquote(p)}" for p in files])
+        rows = rows.withColumns({"_file": self._relative(F.col("_metadata.file_path")), "_row": F.col("_metadata.row_index")})
         if parts:
-            table = self.spark.createDataFrame([(p, *[a["partitionValues"].get(physical[c]) for c in parts]) for p, a in files.items()], "_path string, " + ", ".join(f"`_p{i}` string" for i in range(len(parts))))
+            table = self.spark.createDataFrame([(unquote(p), *[a["partitionValues"].get(physical[c]) for c in parts]) for p, a in files.items()], "_path string, " + ", ".join(f"`_p{i}` string" for i in range(len(parts))))
             rows = rows.drop(*[physical[p] for p in parts]).join(table, F.col("_file") == F.col("_path"))  # a row a file
             rows = rows.withColumns({physical[p]: F.col(f"_p{i}").cast(s.schema[p].dataType) for i, p in enumerate(parts)})
-        gone = [(p, i) for p, a in files.items() for i in self._positions(a)]
+        gone = [(unquote(p), i) for p, a in files.items() for i in self._positions(a)]
         if gone:
             dead = self.spark.createDataFrame(gone, "_path2 string, _at bigint")
             rows = rows.join(dead, (F.col("_file") == F.col("_path2")) & (F.col("_row") == F.col("_at")), "left_anti")
@@ -284,7 +301,8 @@ class DeltaTable:
 
     def _touched(self, s: Snapshot, where: Column) -> dict[str, dict]:
         hit = self._rows(s, s.files).filter(where).select("_file").distinct()
-        return {r[0]: s.files[r[0]] for r in hit.collect()}  # a row a file
+        named = {unquote(p): p for p in s.files}
+        return {named[r[0]]: s.files[named[r[0]]] for r in hit.collect()}  # a row a file
 
     def _rewrite(self, s: Snapshot, operation: str, files: dict, rows: DataFrame) -> int:
         adds = self._write_files(rows.select(*[f.name for f in s.schema]), s)
@@ -298,13 +316,14 @@ class DeltaTable:
     def delete_by_vector(self, where: Column) -> int:
         """Deletes rows by marking their places in deletion vectors, without writing data."""
         s = self.snapshot()
+        named = {unquote(p): p for p in s.files}
         hit = self._rows(s, s.files).filter(where).groupBy("_file").agg(F.sort_array(F.collect_list("_row")).alias("at"))
         actions = []
         for r in hit.toLocalIterator():  # the places become metadata
-            add = dict(s.files[r["_file"]])
+            add = dict(s.files[named[r["_file"]]])
             raw = struct.pack("<I", VECTOR_MAGIC) + roaring.write64(sorted({*self._positions(add), *r["at"]}))
             add["deletionVector"] = {"storageType": "i", "pathOrInlineDv": z85_encode(raw), "sizeInBytes": len(raw), "cardinality": len(r["at"])}
-            actions += [*self._removed([r["_file"]]), {"add": add}]
+            actions += [*self._removed([add["path"]]), {"add": add}]
         return self._commit(s.version + 1, "DELETE", actions) if actions else s.version
 
     def update(self, where: Column, values: dict[str, Column]) -> int:
@@ -323,7 +342,8 @@ class DeltaTable:
         names = [f.name for f in s.schema]
         src = source.select(*[F.col(n).alias(f"_s_{n}") for n in names], *([delete.alias("_gone")] if delete is not None else [F.lit(False).alias("_gone")]))
         everything = self._rows(s, s.files)
-        files = {r[0]: s.files[r[0]] for r in everything.join(src, F.col(key) == F.col(f"_s_{key}"), "left_semi").select("_file").distinct().collect()}
+        named = {unquote(p): p for p in s.files}
+        files = {named[r[0]]: s.files[named[r[0]]] for r in everything.join(src, F.col(key) == F.col(f"_s_{key}"), "left_semi").select("_file").distinct().collect()}
         old = self._rows(s, files).withColumn("_old", F.lit(True))
         both = old.join(src.withColumn("_new", F.lit(True)), F.col(key) == F.col(f"_s_{key}"), "full")
         both = both.filter(~(F.coalesce("_old", F.lit(False)) & F.coalesce("_gone", F.lit(False))))
@@ -357,16 +377,16 @@ class DeltaTable:
     def vacuum(self, retain_ms: int = 7 * 86_400_000, dry_run: bool = False) -> list[str]:
         """Deletes data files that no live file list names and that are older than the retention; lists them."""
         s, limit, gone = self.snapshot(), int(time.time() * 1000) - retain_ms, []
-        live = set(s.files)
+        live = {unquote(p) for p in s.files}
 
         def walk(folder: str) -> None:
             for name, _, modified, is_folder in self.store.list(folder):
                 at = f"{folder}/{name}" if folder else name
-                if name.startswith("_delta") or (not folder and not name.startswith("data-")):
+                if name.startswith("_"):
                     continue
                 if is_folder:
                     walk(at)
-                elif at not in live and unquote(at) not in live and modified <= limit and name.endswith(".parquet"):
+                elif at not in live and modified <= limit and name.endswith(".parquet"):
                     gone.append(at)
 
         walk("")

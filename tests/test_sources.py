@@ -218,3 +218,35 @@ def test_iceberg_manifests_follow_the_format(spark, tmp_path):
 
     path = next((tmp_path / "t" / "data").rglob("*.parquet"))
     assert {f.name: f.metadata[b"PARQUET:field_id"] for f in pq.read_schema(path)} == {"id": b"1", "day": b"2"}
+
+
+def test_delta_of_another_writer(spark, tmp_path):
+    """Files at the root and in folders of values, typed statistics, encoded paths."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path / "other table"
+    (root / "_delta_log").mkdir(parents=True)
+    (root / "p=a%20+b").mkdir()
+    pq.write_table(pa.table({"id": pa.array([1, 12], pa.int64())}), root / "part-0.parquet")
+    pq.write_table(pa.table({"id": pa.array([3, None], pa.int64())}), root / "p=a%20+b" / "part-1.parquet")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("p", T.StringType())])
+    meta = {"id": "x", "format": {"provider": "parquet", "options": {}}, "schemaString": schema.json(), "partitionColumns": ["p"], "configuration": {}}
+    adds = [
+        {"path": "part-0.parquet", "partitionValues": {"p": None}, "size": 1, "modificationTime": 1, "dataChange": True, "stats": json.dumps({"numRecords": 2, "minValues": {"id": 1}, "maxValues": {"id": 12}, "nullCount": {"id": 0}})},
+        {"path": "p=a%2520+b/part-1.parquet", "partitionValues": {"p": "a +b"}, "size": 1, "modificationTime": 1, "dataChange": True},
+    ]
+    lines = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": meta}, *({"add": a} for a in adds)]
+    (root / "_delta_log" / f"{0:020d}.json").write_text("\n".join(map(json.dumps, lines)))
+    t = DeltaTable(spark, str(root))
+    assert sorted((r["id"] or 0, r["p"]) for r in t.read().collect()) == [(0, "a +b"), (1, None), (3, "a +b"), (12, None)]
+    assert ids(t.read(conditions=[("id", ">", 11)])) == [12]
+    t.delete_by_vector(F.col("id") == 3)
+    t.update(F.col("id") == 1, {"p": F.lit("x y/ü")})
+    assert sorted((r["id"] or 0, r["p"]) for r in t.read().collect()) == [(0, "a +b"), (1, "x y/ü"), (12, None)]
+    stats = [json.loads(a["stats"]) for a in t.snapshot().files.values() if "data-" in a["path"]]
+    assert all(isinstance(x["minValues"]["id"], int) for x in stats)
+    t.vacuum(0)
+    assert sorted(r["id"] or 0 for r in t.read().collect()) == [0, 1, 12]
