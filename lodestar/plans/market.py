@@ -116,7 +116,11 @@ def moments(spark, d):
     return rounded(keyed(spark, d), 4, m=F.avg(p).over(M.running(w)) * F.pi(), v=F.var_pop(p).over(M.running(w)) * F.pi(), sd=M.rolling_std(p, w, 5), z=M.zscore(p, w, 5), cr=corr, sk=M.rolling_skew(p, w, 5))
 
 
-@register("market_kurtosis", (266, 267))
+@register("market_kurtosis", (266, 267), sql({
+    "ku": "CASE WHEN len(vs) < 4 OR list_var_pop(vs) <= 1e-10 THEN 0 ELSE list_avg(list_transform(vs, lambda v: (v - list_avg(vs)) ** 4)) / list_var_pop(vs) ** 2 - 3 END",
+    "ac": "CASE WHEN n <= 5 OR sx * sy <= 1e-12 THEN 0 ELSE cv / (sx * sy) END"}, 4,
+    f"""SELECT *, list(p) OVER w5 AS vs, STDDEV_POP(p) OVER w5 AS sx, STDDEV_POP(x1) OVER w5 AS sy, COVAR_POP(p, x1) OVER w5 AS cv FROM (SELECT *, LAG(p) OVER o AS x1, ROW_NUMBER() OVER o AS n FROM {BASE} WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WINDOW w5 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)"""))
 def kurtosis(spark, d):
     """Rolling excess kurtosis and autocorrelation at lag 1."""
     w = M.series(["user_id"], ["ts", "event_id"])

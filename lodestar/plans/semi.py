@@ -63,12 +63,19 @@ def prom_regression(spark, d):
     return ranges(spark, d).filter(F.size("s") > 1).select("event_type", "day", F.round(slope, 9).alias("deriv"), F.round(value + slope * 3600, 4).alias("hour_on"))
 
 
-@register("prom_rate", (216, 217))
+@register("prom_rate", (216, 217), f"""WITH e AS (SELECT *, LAG(v) OVER o AS b, LAG(t) OVER o AS bt FROM {PROM} WINDOW o AS (PARTITION BY event_type, day ORDER BY t, v)),
+    g AS (SELECT event_type, day, COUNT(*) AS n, MIN(t) AS ft, MAX(t) AS lt, arg_min(v, (t, v)) AS fv, arg_max(v, (t, v)) AS lv, arg_max(b, (t, v)) AS pv, arg_max(bt, (t, v)) AS pt, SUM(CASE WHEN v < b THEN b ELSE 0 END) AS up FROM e GROUP BY 1, 2 HAVING COUNT(*) > 1),
+    h AS (SELECT *, (lt - ft) / 1000 AS span, (lt - ft) / 1000 / (n - 1) AS mean, (ft - (day * 86400000 - 1)) / 1000 AS a0, (day * 86400000 + 86399999 - lt) / 1000 AS z0, lv - fv AS d, lv - fv + up AS c FROM g),
+    i AS (SELECT *, CASE WHEN a0 >= mean * 1.1 THEN mean / 2 ELSE a0 END AS a, CASE WHEN z0 >= mean * 1.1 THEN mean / 2 ELSE z0 END AS z FROM h),
+    j AS (SELECT *, CASE WHEN c > 0 AND fv >= 0 AND span * fv / c < a THEN span * fv / c ELSE a END AS ac FROM i)
+    SELECT event_type, day, ROUND(c * (span + ac + z) / span / 86400, 6) AS rate, ROUND(c * (span + ac + z) / span, 3) AS increase, ROUND(d * (span + a + z) / span, 5) AS delta,
+    ROUND(CASE WHEN lv < pv THEN lv ELSE lv - pv END / NULLIF((lt - pt) / 1000, 0), 7) AS irate, ROUND(lv - pv, 6) AS idelta FROM j""")
 def prom_rate(spark, d):
     """rate, increase and delta with extrapolation, irate and idelta; tested against published cases."""
     s, a, b = c("s"), c("start"), c("stop")
     made = {"rate": Q.extrapolated(s, a, b, True, True), "increase": Q.extrapolated(s, a, b, True, False), "delta": Q.extrapolated(s, a, b, False, False), "irate": Q.irate(s), "idelta": Q.irate(s, False)}
-    return ranges(spark, d).filter(F.size("s") > 1).select("event_type", "day", *[F.round(v, 6).alias(k) for k, v in made.items()])
+    digits = {"rate": 6, "increase": 3, "delta": 5, "irate": 7, "idelta": 6}
+    return ranges(spark, d).filter(F.size("s") > 1).select("event_type", "day", *[F.round(v, digits[k]).alias(k) for k, v in made.items()])
 
 
 @register("prom_histogram_quantile", (223,), """WITH b AS (SELECT event_type, le, (SELECT COUNT(*) FROM events e2 WHERE e2.event_type = e.event_type AND e2.value <= le) AS n FROM (SELECT DISTINCT event_type FROM events) e, (SELECT UNNEST([10.0, 50.0, 100.0, 200.0, 'inf'::DOUBLE]) AS le)),
@@ -106,7 +113,8 @@ def vector_quantized(spark, d):
     return rows.select("vec_id", F.aggregate(V.quantize(c("embedding"), c("e.lo"), c("e.hi")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("codes"))
 
 
-@register("vector_bits_and_halves", (290, 292))
+@register("vector_bits_and_halves", (290, 292), """SELECT a.vec_id, CAST(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST((z[1] > 0) <> (z[2] > 0) AS INT))) AS INT) AS hamming, true AS close
+    FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b""")
 def vector_bits(spark, d):
     """Sign bits and their Hamming distance to vector 0's, and the half-precision round trip's error."""
     rows = table(spark, d, "embeddings").withColumns({"b": V.sign_bits(c("embedding")), "h": V.half(c("embedding"))})
@@ -120,7 +128,7 @@ def vector_kmeans(spark, d):
     return made.select("vec_id", "cluster", F.round("d2", 6).alias("d2"))
 
 
-@register("vector_pruning", (295, 296))
+@register("vector_pruning", (295, 296), "SELECT DISTINCT label, true AS sound, true AS same FROM embeddings")
 def vector_pruning(spark, d):
     """Box bounds by label against the true least distance; distances survive a rotation."""
     rows = table(spark, d, "embeddings")
@@ -176,7 +184,7 @@ def tensor_helpers(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *[F.round(v, 6).alias(k) for k, v in made.items()])
 
 
-@register("tensor_rope", (308,))
+@register("tensor_rope", (308,), "SELECT vec_id, true AS kept FROM embeddings")
 def tensor_rope(spark, d):
     """Rotary positions keep norms."""
     e = c("embedding").cast("array<double>")
