@@ -201,6 +201,7 @@ class Bpe:
         self.length = np.array([len(t) for t in token], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(token), np.uint8)
+        self.ranks = self.ranks if self.whole else {}  # else of no more use
         self.cache: dict = {}  # ids as bytes, by the piece's hash, or by the piece for other patterns
 
     def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
@@ -338,6 +339,11 @@ class Bpe:
         cuts = np.concatenate([[0], to])[bounds].tolist()
         return [tokens[x:y] for x, y in zip(cuts, cuts[1:])]
 
+    def forget(self) -> None:
+        """Empties the cache at the end of a task, so that other stages have the memory."""
+        self.cache.clear()
+        release()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, gathered from the token table."""
         if not len(ids):
@@ -375,6 +381,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
                 made = pa.ListArray.from_arrays(pa.array(offsets), values).cast(names.field(len(rest)).type)
                 yield pa.RecordBatch.from_arrays([*batch.columns, made], schema=names)
+        bpe.forget()
 
     return df.select(*[df[f"`{c}`"] for c in rest]).mapInArrow(run, schema)
 

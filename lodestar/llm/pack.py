@@ -59,6 +59,7 @@ def pieces(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, tex
                         seen[length] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), names)], schema=names)
+        bpe.forget()
 
     return df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, PIECES)
 

@@ -31,6 +31,8 @@ BAG = 3
 STEPS = 80
 RATE = 0.07
 THRESHOLD = 0.7
+#: Distinct words whose n-grams are worked on at once.
+PART = 20_000
 
 
 def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +101,21 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> np.ndarray:
     emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.array([0.0, -2.0])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    used = np.unique(ids)
-    local = np.searchsorted(used, ids).astype(np.int32)
+    used = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[ids]
+    del ids, place
     emb = emb[used]
     params = [emb, soft, bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         side = soft[:, 1] - soft[:, 0]
-        gram = emb @ side
-        word = np.add.reduceat(gram[local], starts) / n
+        gram, word = emb @ side, np.empty(len(n))
+        for at in range(0, len(n), PART):
+            first, last = int(starts[at]), int(starts[min(at + PART, len(n)) - 1] + n[min(at + PART, len(n)) - 1])
+            word[at : at + PART] = np.add.reduceat(gram[local[first:last]], starts[at : at + PART] - first)
+        word /= n
         z, start, bags = bag_sums(word[inverse], text_words)
         z = z + bias[1] - bias[0]
         first = np.concatenate([[0], np.cumsum(bags)[:-1]])
@@ -123,13 +131,17 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> np.ndarray:
         gb = gb / (end - start)
         flow = np.bincount(start, gb, len(inverse) + 1) - np.bincount(end, gb, len(inverse) + 1)
         gw = np.bincount(inverse, np.cumsum(flow)[:-1], len(n)) / n
-        gg = np.bincount(local, np.repeat(gw, n), len(used))
+        del z, a, gb, end, start, flow
+        gg = np.zeros(len(used))
+        for at in range(0, len(n), PART):
+            some, first = n[at : at + PART], int(starts[at])
+            gg += np.bincount(local[first : first + int(some.sum())], np.repeat(gw[at : at + PART], some), len(used))
         d_side = emb.T @ gg
         grads = [gg[:, None] * side, np.stack([-d_side, d_side], 1) + 1e-5 * soft, np.array([-g.sum(), g.sum()])]
         for i, (p, d) in enumerate(zip(params, grads)):
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.98 * v[i] + 0.02 * d * d
-            p -= RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.98**step)) + 1e-8)
+            p -= RATE * min(1.0, 2 * (1 - step / (STEPS + 1))) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.98**step)) + 1e-8)
     # buckets that no training text has keep their first value, whose mean is zero
     out[:-1][used] = emb @ (soft[:, 1] - soft[:, 0])
     out[-1] = bias[1] - bias[0]
