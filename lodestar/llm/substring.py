@@ -26,7 +26,7 @@ from .common import U64, Words, arrow_schema, free_name, mix64, ngram_hashes, pa
 
 WINDOW = 20
 SHINGLE = 5
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 NO_ID = 2**63 - 1
 
 
