@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, arrow_schema, checkpoint, free_name, release, slices, small_batches
@@ -33,12 +33,12 @@ SEED = 42
 #: First bit and width of each block; fifteen bits are coded, the others verbatim.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODED = 15
-NO_ID = 2**63 - 1
 #: Pairs compared at once, and rows held before whole anchors are compared.
 TILE, ROWS = 2_000_000, 200_000
 #: Fingerprints at home at an anchor beyond which it is split.
 HOT = 20_000
 KEYED = "anchor int, fp bigint, node bigint, home boolean"
+PRINTS = "doc_id bigint, text_hash bigint, fp bigint"
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -62,19 +62,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed 64-bit number; null text: like an empty one."""
-    names = arrow_schema("doc_id bigint, fp bigint")
+    """(doc_id, text_hash, fp) of each row, fp as a signed 64-bit number; null text: like an empty one."""
+    names = arrow_schema(PRINTS)
 
     small_batches(df.sparkSession)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 2_000_000):
-                fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)], U64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], schema=names)
+                fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)], U64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], schema=names)
 
-    return df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), text_hash(text).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, PRINTS)
 
 
 _PARITY = np.zeros(1 << CODED, np.int32)
@@ -189,39 +194,44 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return tiled(nodes).repartition("tile", "anchor").sortWithinPartitions("tile", "anchor").mapInArrow(run, "u bigint, v bigint")
 
 
+def linked_prints(made: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, root, least) of each distinct fingerprint: root is its component's smallest fingerprint, least the first of its own rows by id, none last, then text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    known = checkpoint(made.groupBy("fp").agg(first.alias("least")))
+    found = components(links(known.select("fp", F.col("fp").alias("node")), threshold))
+    return known.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id) for each row.
 
     component_id is the smallest doc_id that links reach. Null and wordless
     texts have fingerprint zero and link like others. Rows without an id take
-    part; a component of such rows only has a null component_id. Rows that
-    share an id are one node. Other columns are not read; an empty table gives
-    no rows.
+    part; a component of such rows only has a null component_id. Texts alone
+    link: rows that share an id, or have none, are not linked for that, so
+    unlinked components may have the same component_id if ids repeat. Other
+    columns are not read; an empty table gives no rows.
     """
     made = checkpoint(fingerprints(df, text, doc_id))
-    known = made.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"))
-    known = checkpoint(known)
-    edges = links(known, threshold)
-    # rows that share an id join their fingerprints' components
-    shared = made.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id")
-    same = made.join(shared, "doc_id", "left_semi").join(known, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    found = components(edges.unionAll(same))
-    by_fp = known.join(found, "node", "left").select(F.col("fp").alias("k"), F.coalesce("component", "node").alias("c"))
-    return made.join(by_fp, F.col("fp") == F.col("k")).select("doc_id", "fp", F.nullif("c", F.lit(NO_ID)).alias("component_id"))
+    prints = checkpoint(linked_prints(made, threshold))
+    label = prints.groupBy(F.col("root").alias("r")).agg(F.min("least")["doc_id"].alias("component_id"))
+    by_fp = prints.join(label, F.col("root") == F.col("r")).select(F.col("fp").alias("k"), "component_id")
+    return made.join(by_fp, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each component, that of the smallest id (of several with this id: by the text's hash, then the text).
+    """One row of each component, that of the smallest id (of several with this id: by the text's hash), none last.
 
-    The columns of df, unchanged. Rows without an id stay if their component has no row with one, one of them.
+    The columns of df, unchanged. Components are of fingerprints, so unlinked texts stay whatever their ids.
     """
-    made = near_duplicates(df, text, doc_id, threshold)
-    keep = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("keep_id")).distinct()
-    key, rank = free_name(df, "row_key"), free_name(df, "row_rank")
-    rows = df.withColumn(key, F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)))
-    rows = rows.join(keep, rows[key] == F.col("keep_id"), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text}`")), F.col(f"`{text}`"))
-    return rows.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(key, rank)
+    made = checkpoint(fingerprints(df, text, doc_id))
+    least = linked_prints(made, threshold).groupBy("root").agg(F.min("least").alias("least"))
+    key, hashed, rank, keep_id, keep_hash = (free_name(df, n) for n in ("row_key", "row_hash", "row_rank", "keep_id", "keep_hash"))
+    keep = least.select(F.col("least.doc_id").alias(keep_id), F.col("least.text_hash").alias(keep_hash))
+    rows = df.withColumn(key, F.col(f"`{doc_id}`").cast("bigint")).withColumn(hashed, text_hash(text))
+    rows = rows.join(keep, F.col(key).eqNullSafe(F.col(keep_id)) & (F.col(hashed) == F.col(keep_hash)), "left_semi")
+    first = Window.partitionBy(key, hashed, f"`{text}`").orderBy(hashed)  # copies with the same id
+    return rows.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(key, hashed, rank)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

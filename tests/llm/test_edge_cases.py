@@ -85,6 +85,31 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_simhash_without_ids(spark, docs):
+    """Unlinked texts stay, whatever their ids; one row of each component stays."""
+    assert "alone" in [r["text"] for r in simhash.one_of_each(docs).select("text").collect()]
+
+    def two(seed):  # a text and a near one
+        rng = np.random.default_rng(seed)
+        words = [f"t{x}" for x in rng.integers(0, 10**6, 600)]
+        for i in range(len(words)):
+            near = [*words[:i], "changed", *words[i + 1 :]]
+            a, b = " ".join(words), " ".join(near)
+            if 1 <= (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() <= simhash.THRESHOLD:
+                return a, b
+        raise AssertionError
+
+    (a, near_a), (b, near_b), (c, near_c) = two(1), two(2), two(3)
+    rows = [(5, a), (None, near_a), (9, b), (None, near_b), (None, c), (None, near_c), (None, c), (None, "lone words here"), (7, "seven one"), (7, "another text of seven")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert labels == {(5, 5), (None, 5), (9, 9), (None, 9), (None, None), (7, 7)}
+    kept = [tuple(r) for r in simhash.one_of_each(df).collect()]
+    of_c = [r for r in kept if r in ((None, c), (None, near_c))]
+    assert len(of_c) == 1
+    assert sorted((r for r in kept if r not in of_c), key=str) == sorted([(5, a), (9, b), (None, "lone words here"), (7, "seven one"), (7, "another text of seven")], key=str)
+
+
 def test_substring(docs, empty):
     got = substring.dedup(docs).collect()
     assert len(got) == len(ROWS)
