@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the spans of fixed patterns for four kinds. The two words before a
-span are its lexical pattern. Other tokens with a digit or an at sign are
-candidates with patterns of their own. Patterns and instances form a graph:
+span are its lexical pattern. Other tokens with a digit or an at sign, and runs
+of digit groups over several tokens, are candidates with patterns of their own. Patterns and instances form a graph:
 a pattern's confidence in a kind is the share of the kind in its distinct
 instances, an instance's the noisy-or over its confident patterns; Spark scores
 both in turn for ROUNDS rounds, and a candidate after a confident pattern is
@@ -31,13 +31,16 @@ PATTERNS = {
 #: What a text must contain for the pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?<=[0-9])(?:\.|$)){4}$"
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A token of digit groups only, less the punctuation behind it; a run of them with single spaces between; any token with a digit or an at sign.
+GROUPS = r"\(?+[0-9]++(?:[().-]{1,2}+[0-9]++)*+\)?+(?=[^\s0-9@\p{L}]*+(?!\S))"
+RUN = rf"[^\s0-9@\p{{L}}+(]*+\+?+{GROUPS}(?:\x20{GROUPS})*+\S*+"
+CANDIDATE = rf"(?<!\S)(?:{RUN}|[^\s0-9@]*+[0-9@]\S*+)"
 #: Shapes that an unseen identifier of a kind may have.
 SHAPES = {
     "email": r"^[^\s@]+@[^\s@]+$",
     "ip": r"^(?=.*[0-9])(?:[0-9A-Fa-f]{0,4}[:.]){2,7}[0-9A-Fa-f]{0,4}$",
-    "card": r"^[0-9](?:[0-9-]*[0-9])$",
-    "phone": r"^\+?[0-9(](?:[0-9().-]*[0-9])$",
+    "card": r"^[0-9](?:[0-9\x20-]*[0-9])$",
+    "phone": r"^\+?[0-9(](?:[0-9().\x20-]*[0-9])$",
 }
 DIGITS = {"email": (0, 10**6), "ip": (1, 39), "card": (12, 19), "phone": (7, 15)}
 CONTEXT_CHARS, CONTEXT_WORDS = 64, 2
@@ -111,7 +114,10 @@ def context(before: Column) -> Column:
 
 
 def _scan(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(id, key, base, loose): base spans, and candidates that overlap none, with contexts instead of gaps."""
+    """(id, key, base, loose): base spans, and candidates that overlap none, with contexts instead of gaps.
+
+    A run ends at a base span. It is a candidate as a whole if that has the shape of a kind, or else its first token is.
+    """
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("key"), "text", base_spans(F.col("text")).alias("raw"))
     base = F.transform("raw", lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e"), m["t"].alias("t"), context(m["before"]).alias("p")))
@@ -121,11 +127,17 @@ def _scan(df: DataFrame, text: str, doc_id: str) -> DataFrame:
         body = F.regexp_replace(F.regexp_replace(m["t"], r"^[^\p{L}0-9+(]+", ""), r"[^\p{L}0-9]+$", "")
         return F.struct((m["s"] + lead).alias("s"), (m["s"] + lead + F.char_length(body)).alias("e"), body.alias("t"), context(m["before"]).alias("p"))
 
-    rows = rows.withColumn("base", base)
-    loose = F.filter(
-        F.transform(F.filter(matches(F.col("text"), CANDIDATE), lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))), trimmed),
-        lambda m: (m["p"] != "") & (m["e"] > m["s"]),
-    )
+    def fitting(m):
+        whole = trimmed(m)["t"]
+        shaped = _fits("card", whole) | _fits("phone", whole)
+        first = F.struct(m["s"].alias("s"), (m["s"] + F.char_length(F.substring_index(m["t"], " ", 1))).alias("e"), F.substring_index(m["t"], " ", 1).alias("t"), m["before"].alias("before"))
+        return F.when(m["t"].contains(" ") & ~shaped, first).otherwise(m)
+
+    # base spans become words of at signs, which no run holds
+    masked = F.aggregate("base", F.col("text"), lambda a, m: F.overlay(a, F.repeat(F.lit("@"), m["e"] - m["s"]), m["s"] + 1, m["e"] - m["s"]))
+    rows = rows.withColumn("base", base).withColumn("masked", F.when(F.size("base") > 0, masked).otherwise(F.col("text")))
+    apart = F.filter(matches(F.col("masked"), CANDIDATE), lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+    loose = F.filter(F.transform(F.transform(apart, fitting), trimmed), lambda m: (m["p"] != "") & (m["e"] > m["s"]))
     return rows.select("id", "key", "base", F.when(F.col("text").rlike("[0-9@]"), loose).otherwise(F.array().cast("array<struct<s:int,e:int,t:string,p:string>>")).alias("loose"))
 
 

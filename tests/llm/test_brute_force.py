@@ -222,6 +222,31 @@ def test_pii_discovers_by_context(spark):
     assert text == "note member contact number [PHONE] thanks"
 
 
+def test_pii_discovers_spaced_forms(spark):
+    def luhn(number):
+        d = [int(x) for x in number if x != " "]
+        return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(d[::-1])) % 10 == 0
+
+    cards = [n for n in (f"4539 1488 03{i:02d} 6467" for i in range(100)) if luhn(n)][:8]
+    assert len(cards) == 8 and not luhn("4539 1488 0343 6468")
+    rows = [(i, f"hello member contact number +1 (988) 555-24{i:02d} thanks") for i in range(20)]
+    rows += [(30 + i, f"hello his payment card {n} thanks") for i, n in enumerate(cards)]
+    cases = {
+        50: ("note member contact number (017) 555-7713, thanks", "note member contact number [PHONE], thanks"),
+        51: ("note member contact number 988 555 2499 thanks", "note member contact number [PHONE] thanks"),
+        52: ("note his payment card 4539 1488 0343 6468.", "note his payment card [CARD]."),
+        53: ("note member contact number 988.555 24-99", "note member contact number [PHONE]"),
+        54: ("note random words here 988 555 2411 thanks", None),
+        55: ("note member contact number 988 555 2499 1.2.3.4 x", "note member contact number [PHONE] [IP] x"),  # a base span ends a run
+        56: ("note member contact number 988-555-2499 988-555-2411 x", "note member contact number [PHONE] 988-555-2411 x"),  # the whole fits nothing
+        57: ("note member contact number 988 55x 2499", None),
+        58: ("note member contact number 5 6 tomorrow " + "1 " * 30_000, None),
+    }
+    rows += [(i, text) for i, (text, _) in cases.items()]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: got[i] for i in cases} == {i: want or text for i, (text, want) in cases.items()}
+
+
 def test_pack_is_best_fit(spark, docs, rows):
     t = Tokenizer.from_file(BYTES)
     t.encode_special_tokens = True
