@@ -45,14 +45,17 @@ def half(v: Column) -> Column:
 
 
 def sign_bits(v: Column) -> Column:
-    """Up to 64 signs as the bits of a bigint, the first lowest."""
-    size = F.least(F.size(v), F.lit(64))
-    bits = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(F.get(v, i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    """All signs as the bits of bigints, 64 a word, the first lowest; the last word is filled up with zeros."""
+    zero = F.lit(0).cast("bigint")
+    words = F.ceil(F.size(v) / 64).cast("int")
+    positive = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i % 64)).otherwise(zero))
+    packed = F.transform(F.sequence(F.lit(1), words), lambda w: F.aggregate(F.slice(positive, (w - 1) * 64 + 1, F.lit(64)), zero, lambda a, b: a.bitwiseOR(b)))
+    return F.when(F.size(v) == 0, F.array().cast("array<bigint>")).when(v.isNotNull(), packed)
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    """Differing bits of two arrays of as many words; null if their numbers differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def softmax(x: Column) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from lodestar.functions import numeric as N
 from lodestar.functions import strings as S
 from lodestar.functions import temporal as D
+from lodestar.functions import vectors as V
 from lodestar.operators import aggregates, graph, joins, setops, topk, windows
 from pyspark.sql import functions as F
 
@@ -115,3 +116,15 @@ def test_text_and_dates(spark):
     day = lambda s: F.lit(s).cast("date")
     assert str(one(D.add_interval(day("2024-01-31"), D.interval(F.lit(1), F.lit(1))))) == "2024-03-01"
     assert str(one(D.add_interval(day("1960-02-29"), D.interval(F.lit(-12), F.lit(0))))) == "1959-02-28"
+
+
+@pytest.mark.parametrize("width", [1, 63, 64, 65, 100, 128, 768])
+def test_hamming_counts_every_component(spark, width):
+    rng = random.Random(width)
+    pairs = [([rng.choice([-1.0, 0.0, 1.0]) for _ in range(width)], [rng.choice([-1.0, 0.0, 1.0]) for _ in range(width)]) for _ in range(8)]
+    pairs.append(([1.0] * width, [1.0] * (width - 1) + [-1.0]))  # they differ in the last component only
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<float>, b array<float>")
+    got = {r["i"]: r["n"] for r in df.select("i", V.hamming(V.sign_bits(F.col("a")), V.sign_bits(F.col("b"))).alias("n")).collect()}
+    assert got == {i: sum((x > 0) != (y > 0) for x, y in zip(a, b)) for i, (a, b) in enumerate(pairs)}
+    packed = df.select(V.sign_bits(F.col("a")).alias("w")).first()["w"]
+    assert len(packed) == -(-width // 64)
