@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2", "ip", "cosine")
+#: Rows and queries that meet at once.
+BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def _scores(v: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return ((v - x) ** 2).sum(axis=1)
+    s = -(v @ x)
+    if metric == "cosine":
+        norm = np.linalg.norm(v, axis=1) * np.linalg.norm(x)
+        s = np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
+    return s
+
+
 def nearest(df: DataFrame, queries: np.ndarray, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, rank, key, score): the k nearest rows to each row of a given, bounded matrix; ties to the smaller key.
 
@@ -29,13 +41,7 @@ def nearest(df: DataFrame, queries: np.ndarray, k: int, metric: str = "l2", key:
                 continue
             ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
             for i, x in enumerate(q):
-                if metric == "l2":
-                    s = ((v - x) ** 2).sum(axis=1)
-                else:
-                    s = -(v @ x)
-                    if metric == "cosine":
-                        norm = np.linalg.norm(v, axis=1) * np.linalg.norm(x)
-                        s = np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
+                s = _scores(v, x, metric)
                 best = np.lexsort((ids, s))[:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i)), pa.array(ids[best]), pa.array(s[best])], names=["query", key, "score"])
 
@@ -45,6 +51,44 @@ def nearest(df: DataFrame, queries: np.ndarray, k: int, metric: str = "l2", key:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest_to_rows(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, rank, key, score): as nearest, for the rows of a table of any size, named by their key.
+
+    Queries are dealt out in parts, and each part meets each block of rows, so
+    none is collected; a block keeps k rows a query. A key is one query, the
+    least of its vectors. Null keys and vectors take no part; vectors of other
+    dimensions are no candidates.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
+
+    def usable(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0))
+
+    rows, asked = usable(df), usable(queries).groupBy("id").agg(F.min("v").alias("v"))
+    blocks, parts = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.select("id", "v", F.size("v").alias("dim"), dealt(blocks).alias("block"), each(parts).alias("part"))
+    asked = asked.select("id", "v", F.size("v").alias("dim"), dealt(parts).alias("part"), each(blocks).alias("block"))
+    names = pa.schema([("query", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return names.empty_table()
+        ids, v, found = left["id"].to_numpy(), _matrix(left["v"].combine_chunks()), []
+        for query, x in zip(right["id"].to_numpy(), _matrix(right["v"].combine_chunks())):
+            s = _scores(v, x, metric)
+            best = np.lexsort((ids, s))[:k]
+            found.append((np.full(len(best), query), ids[best], s[best]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(a)) for a in zip(*found)], schema=names)
+
+    by = ("block", "part", "dim")
+    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, f"query bigint, {key} bigint, score double")
+    w = Window.partitionBy("query").orderBy("score", key)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def kmeans_step(df: DataFrame, centres: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray, float]:
     """Assignments (key, cluster, d2) to bounded centres, the centres' update, and the inertia.
 

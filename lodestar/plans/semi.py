@@ -104,6 +104,13 @@ def vector_knn(spark, d):
     return vector_search.nearest(rows, np.array(q), 5).select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@register("vector_knn_every", (198, 297))
+def vector_knn_every(spark, d):
+    """Every row whose id is divisible by 50 against all rows; vector_knn keeps to the three ids of its SQL."""
+    rows = table(spark, d, "embeddings")
+    return vector_search.nearest_to_rows(rows, rows.filter("vec_id % 50 = 0"), 5).select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @register("vector_quantized", (291, 292), """WITH g AS (SELECT MIN(list_min(embedding))::DOUBLE AS lo, MAX(list_max(embedding))::DOUBLE AS hi FROM embeddings)
     SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: least(greatest(floor((x::DOUBLE - lo) / ((hi - lo) / 255) + 0.5), 0), 255))) AS BIGINT) AS codes FROM embeddings, g""")
 def vector_quantized(spark, d):

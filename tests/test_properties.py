@@ -4,13 +4,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodestar.functions import numeric as N
 from lodestar.functions import strings as S
 from lodestar.functions import temporal as D
 from lodestar.functions import vectors as V
-from lodestar.operators import aggregates, graph, joins, setops, topk, windows
+from lodestar.operators import aggregates, graph, joins, setops, topk, vector_search, windows
 from pyspark.sql import functions as F
 
 KEYS = [None, 0.0, -0.0, 1.5, float("nan"), float("inf"), -1.0]
@@ -128,3 +129,20 @@ def test_hamming_counts_every_component(spark, width):
     assert got == {i: sum((x > 0) != (y > 0) for x, y in zip(a, b)) for i, (a, b) in enumerate(pairs)}
     packed = df.select(V.sign_bits(F.col("a")).alias("w")).first()["w"]
     assert len(packed) == -(-width // 64)
+
+
+def test_knn_of_every_fiftieth_row(spark, monkeypatch):
+    from lodestar import catalog
+    from lodestar.plans import semi
+
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vector_search, "QUERY_ROWS", 3)
+    d = "/root/testdata/sf0.001"
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float64)) for r in catalog.table(spark, d, "embeddings").select("vec_id", "embedding").collect()]
+    want = set()
+    for i, x in rows:
+        if i % 50 == 0:
+            best = sorted((float(((v - x) ** 2).sum()), j) for j, v in rows)[:5]
+            want.update((i, rank, j) for rank, (_, j) in enumerate(best, 1))
+    got = [(r["query"], r["rank"], r["vec_id"]) for r in semi.vector_knn_every(spark, d).collect()]
+    assert len(want) > 15 and len(got) == len(want) and set(got) == want
