@@ -208,8 +208,14 @@ def zone_maps(spark, d):
 @register("udf_surface", (304,), "SELECT o_orderkey, o_totalprice * 1.1 AS scaled FROM orders WHERE o_orderkey % 2 = 0")
 def udf_surface(spark, d):
     """A vectorized function over Arrow batches, as callers pass their own."""
+    return udf_surface_all(spark, d).filter("o_orderkey % 2 = 0")
+
+
+@register("udf_surface_all", (304,), "SELECT o_orderkey, o_totalprice * 1.1 AS scaled FROM orders")
+def udf_surface_all(spark, d):
+    """The function on all orders; udf_surface keeps to the even keys of its SQL."""
     scale = F.pandas_udf(lambda s: s * 1.1, "double")
-    return table(spark, d, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", scale("o_totalprice").alias("scaled"))
+    return table(spark, d, "orders").select("o_orderkey", scale("o_totalprice").alias("scaled"))
 
 
 @register("asof_join", (), "SELECT a.event_id, b.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, MAX(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts")

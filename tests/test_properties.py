@@ -146,3 +146,12 @@ def test_knn_of_every_fiftieth_row(spark, monkeypatch):
             want.update((i, rank, j) for rank, (_, j) in enumerate(best, 1))
     got = [(r["query"], r["rank"], r["vec_id"]) for r in semi.vector_knn_every(spark, d).collect()]
     assert len(want) > 15 and len(got) == len(want) and set(got) == want
+
+
+def test_udf_takes_all_orders(spark):
+    from lodestar import catalog
+    from lodestar.plans import semi
+
+    d = "/root/testdata/sf0.001"
+    want = {r["o_orderkey"] for r in catalog.table(spark, d, "orders").select("o_orderkey").collect()}
+    assert {r["o_orderkey"] for r in semi.udf_surface_all(spark, d).collect()} == want and any(k % 2 for k in want)
