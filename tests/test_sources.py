@@ -250,3 +250,12 @@ def test_delta_of_another_writer(spark, tmp_path):
     assert all(isinstance(x["minValues"]["id"], int) for x in stats)
     t.vacuum(0)
     assert sorted(r["id"] or 0 for r in t.read().collect()) == [0, 1, 12]
+
+
+def test_parquet_round_trip_is_of_the_whole_table(spark):
+    from lodestar.plans import formats
+
+    d = "/root/testdata/sf0.001"
+    made, want = formats.parquet_round_trip_all(spark, d), formats.orders(spark, d)
+    assert made.columns == want.columns
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
