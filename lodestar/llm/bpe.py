@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, arrow_schema, mix64, release, slices, small_batches
+from .common import arrow_schema, exact, release, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Pieces whose ids a task keeps; beyond it the cache starts anew.
@@ -134,10 +134,9 @@ class Splitter:
         self.kind = np.full(0x110000, self.OTHER, np.uint8)
         for kind, pattern in ((self.SPACE, r"\s"), (self.LETTER, r"\p{L}"), (self.NUMBER, r"\p{N}")):
             self.kind[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
-        self.code = mix64(np.arange(1, 0x110001, dtype=np.uint64))
 
     def pieces(self, whole: str, lengths: np.ndarray):
-        """Start and end of each piece, where each text's pieces begin, and a 64-bit hash of each piece."""
+        """Where each piece begins and ends in the UTF-8 bytes, and each text's range of pieces."""
         point = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         n, text_end = len(point), np.cumsum(lengths)
         kind = self.kind[point]
@@ -146,7 +145,7 @@ class Splitter:
         fresh[text_end[text_end < n]] = True
         run = np.flatnonzero(fresh)[:-1] if n else np.zeros(0, np.int64)
         if not len(run):
-            return run, run, np.zeros(len(lengths) + 1, np.int64), np.zeros(0, np.uint64)
+            return run, run, np.zeros(len(lengths) + 1, np.int64)
         run_end = np.concatenate([run[1:], [n]])
         run_kind = kind[run]
         last_of_text = np.isin(run_end, text_end)
@@ -174,12 +173,9 @@ class Splitter:
             begins[at[rest] + taken[rest]] = True
         start = np.flatnonzero(begins[:n])
         end = np.concatenate([start[1:], [n]])
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.code[point] * power[:n], out=total[1:])
-        key = mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
         bounds = np.searchsorted(start, np.concatenate([[0], text_end]))
-        return start, end, bounds, key
+        byte = np.concatenate([[0], np.cumsum(1 + (point >= 0x80) + (point >= 0x800).astype(np.int64) + (point >= 0x10000))])
+        return byte[start], byte[end], bounds
 
 
 class Bpe:
@@ -202,7 +198,7 @@ class Bpe:
         self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(token), np.uint8)
         self.ranks = self.ranks if self.whole else {}  # else of no more use
-        self.cache: dict = {}  # ids as bytes, by the piece's hash, or by the piece for other patterns
+        self.cache: dict[bytes, bytes] = {}  # ids, by piece
 
     def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (as bytes) of pieces of at least one byte, by rounds of merges over a padded matrix."""
@@ -275,10 +271,10 @@ class Bpe:
                 push(before[i])
         return np.array([x for x, ok in zip(ids, alive) if ok], np.int32)
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
+    def learn(self, raw: list[bytes]) -> list[bytes]:
         """The ids of pieces, as bytes."""
-        out: list = [None] * len(pieces)
-        raw, left = list(map(str.encode, pieces)), range(len(pieces))
+        out: list = [None] * len(raw)
+        left = range(len(raw))
         if self.whole:
             whole = list(map(self.ranks.get, raw))
             left = [i for i, r in enumerate(whole) if r is None]
@@ -299,15 +295,15 @@ class Bpe:
             at = to
         return out
 
-    def known(self, keys: list, piece_of) -> list[bytes]:
-        """The ids by keys of the cache; piece_of(i) is the piece of the i-th, asked where it is new."""
-        if len(self.cache) + len(keys) > CACHE_PIECES:
+    def known(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces, from the cache or learnt."""
+        if len(self.cache) + len(pieces) > CACHE_PIECES:
             self.cache.clear()
             release()
-        found = list(map(self.cache.get, keys))
+        found = list(map(self.cache.get, pieces))
         new = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(new, self.learn([piece_of(i) for i in new])):
-            found[i] = self.cache[keys[i]] = ids
+        for i, ids in zip(new, self.learn([pieces[i] for i in new])):
+            found[i] = self.cache[pieces[i]] = ids
         return found
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -315,7 +311,7 @@ class Bpe:
         if self.spans is None:
             found = [self.split(t) for t in texts]
             distinct = list(set().union(*found)) if found else []
-            ids = dict(zip(distinct, self.known(distinct, distinct.__getitem__)))
+            ids = dict(zip(distinct, self.known([p.encode() for p in distinct])))
             return [np.frombuffer(b"".join(map(ids.__getitem__, pieces)), np.int32) for pieces in found]
         out, at = [], 0
         size = np.cumsum([len(t) for t in texts])
@@ -327,10 +323,9 @@ class Bpe:
 
     def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
         whole = "".join(texts)
-        start, end, bounds, key = self.spans.pieces(whole, np.array([len(t) for t in texts], np.int64))
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        a, b = start[first].tolist(), end[first].tolist()
-        ids = self.known(distinct.tolist(), lambda i: whole[a[i] : b[i]])
+        start, end, bounds = self.spans.pieces(whole, np.array([len(t) for t in texts], np.int64))
+        distinct, which = exact(np.frombuffer(whole.encode(), np.uint8), end - start)
+        ids = self.known(distinct.to_pylist())
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, place = np.frombuffer(b"".join(ids), np.int32), np.cumsum(length) - length
         size = length[which]

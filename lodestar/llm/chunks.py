@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import U64, mix64, release, small_batches, text_buffer
 
@@ -23,10 +24,10 @@ MESSAGE = "part int, chunk bigint, kind string, a binary, b binary, c binary"
 MESSAGE_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def parts_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
-    """Parts of the hash range, in proportion to the input's size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return int(min(1 << 20, max(16, size // bytes_each)))
+def parts_for(df: DataFrame, text: str, bytes_each: int = 8 << 20) -> int:
+    """Parts of the hash range, in proportion to the bytes of text, which are counted."""
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(16, -(-size // bytes_each))
 
 
 def packed(df: DataFrame, text: str, order: str, max_bytes: int) -> DataFrame:

@@ -8,6 +8,7 @@ Arrow buffers, a batch of documents at a time.
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,21 +37,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-HASHED = 1 << 18
-_POW = np.ones(1, dtype=U64)
-_INV = np.ones(1, dtype=U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, grown on demand."""
-    global _POW, _INV
-    while len(_POW) < n:
-        k = len(_POW)
-        _POW = np.concatenate([_POW, _POW * U64(pow(_BASE, k, 1 << 64))])
-        _INV = np.concatenate([_INV, _INV * U64(pow(_BASE_INV, k, 1 << 64))])
-    return _POW, _INV
+def exact(raw: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ones of byte strings that lie end to end, in order of first use, and which of them each is; by their bytes."""
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+    made = whole.dictionary_encode()
+    return made.dictionary, made.indices.to_numpy().astype(np.int32)
+
+
+def xxh(strings: pa.Array) -> np.ndarray:
+    """The 64-bit XXH3 of each byte string."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings.to_pylist()), U64, len(strings))
+
+
+def run_ids(ids: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n consecutive ids, the same for equal runs alone: pairs are ranked, then pairs of pairs."""
+    if n > len(ids):
+        return np.zeros(0, np.int64)
+    at, done, out, size, rest = ids.astype(np.int64), 1, None, 0, n
+
+    def rank(left, right):
+        return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+
+    while rest:
+        if rest & 1:
+            if out is None:
+                out, size = at, done
+            else:
+                k = len(ids) - size - done + 1
+                out, size = rank(out[:k], at[size : size + k]), size + done
+        rest >>= 1
+        if rest:
+            k = len(at) - done
+            at, done = rank(at[:k], at[done : done + k]), done * 2
+    return out
 
 
 class Words:
@@ -80,21 +104,14 @@ class Words:
         """Index of the text that each word is in."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def encoded(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, in order of first use, and which of them each word is; words are compared by their bytes."""
+        return exact(self.buf[~_IS_SPACE[self.buf]], self.end - self.start)
+
     def hashes(self) -> np.ndarray:
-        """A mixed 64-bit polynomial hash of each word's bytes."""
-        h = np.empty(len(self.start), dtype=U64)
-        at = 0
-        while at < len(h):  # the words that begin in a stretch of HASHED bytes, so that little is held at once
-            low = int(self.start[at])
-            to = int(np.searchsorted(self.start, low + HASHED, side="left"))
-            start, end = self.start[at:to] - low, self.end[at:to] - low
-            part = self.buf[low : low + int(end[-1])]
-            pow_, inv = _powers(len(part) + 1)
-            p = np.zeros(len(part) + 1, dtype=U64)
-            np.cumsum(_BYTE[part] * pow_[: len(part)], out=p[1:])
-            h[at:to] = (p[end] - p[start]) * inv[start]
-            at = to
-        return mix64(h + (self.end - self.start).astype(U64))
+        """The 64-bit XXH3 of each word's bytes."""
+        distinct, which = self.encoded()
+        return xxh(distinct)[which]
 
     def joined(self, keep: np.ndarray | None = None) -> list[bytes]:
         """Each text's (kept) words, joined by one space."""
@@ -194,10 +211,14 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leaves the shared folder that the session names; sets one only where none is."""
+    """Leaves the shared folder that the session names; sets one only where none is and all runs on one machine."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join("/tmp", "lodestar-checkpoints"))
+        if not named:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = os.path.join(tempfile.gettempdir(), "lodestar-checkpoints")  # one machine
+        spark.sparkContext.setCheckpointDir(named)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -226,6 +247,18 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=U64)
 
 
+def pack_bytes(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpack_bytes(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def pack_ints(values: np.ndarray) -> bytes:
     """Integers or floats of one width as zstd-compressed byte planes."""
     import zstandard

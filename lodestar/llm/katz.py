@@ -228,7 +228,7 @@ def scores(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id") ->
     table gives no rows; other columns are not read.
     """
     source = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    parts, names = C.parts_for(df), arrow_schema(RESULT)
+    parts, names = C.parts_for(df, text), arrow_schema(RESULT)
     chunks = C.packed(source, "text", "doc_id", CHUNK_BYTES)
 
     def ask_words(chunk, batch):

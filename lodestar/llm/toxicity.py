@@ -79,11 +79,12 @@ def bag_sums(scores: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray):
     words = Words(buf, offsets, lower=True)
-    _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    inverse = words.encoded()[1]
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))  # words are numbered by first use
     made = [subwords(words, first[at : at + 10_000]) for at in range(0, len(first), 10_000)]
     ids = np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int32)
     n = np.concatenate([m[1] for m in made]) if made else np.zeros(0, np.int64)
-    return words.count, inverse.astype(np.int32), ids, n
+    return words.count, inverse, ids, n
 
 
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> np.ndarray:

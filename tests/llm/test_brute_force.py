@@ -164,10 +164,9 @@ def test_pieces_like_the_pattern(chars, monkeypatch):
     rng, split = random.Random(7), regex.compile(PATTERN).findall
     texts = ["".join(rng.choices("''''strevmldST  \n\t1!é²　😀", k=rng.randint(0, 30))) for _ in range(1_000)]
     whole = "".join(texts)
-    start, end, bounds, key = bpe.Splitter().pieces(whole, np.array([len(t) for t in texts]))
-    pieces = [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    start, end, bounds = bpe.Splitter().pieces(whole, np.array([len(t) for t in texts]))
+    pieces = [whole.encode()[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
     assert [pieces[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())] == [split(t) for t in texts]
-    assert len(set(key.tolist())) == len(set(pieces)) == len(set(zip(key.tolist(), pieces)))
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     assert [x.tolist() for x in bpe.Bpe(RANKS, PATTERN).encode_batch(texts)] == [own.encode_ordinary(t) for t in texts]
 

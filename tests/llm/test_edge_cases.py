@@ -187,3 +187,26 @@ def test_hashes_are_of_whole_texts(spark):
     rows = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
     kept = [hashlib.sha256(r["kept_text"].encode()).hexdigest() for r in substring.dedup(rows).orderBy("doc_id").collect()]
     assert len(set(kept)) == 2
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A Thue-Morse word of 2**n letters and its complement, which polynomial hashes modulo a power of two take for the same."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 11, 13])
+def test_words_and_pieces_that_plain_hashes_confuse(spark, n):
+    a, b = thue_morse(n)
+    for path in (RANKS, BYTES):
+        coder = bpe.Bpe(path, PATTERN)
+        assert [coder.decode(x) for x in coder.encode_batch([a, b, f"{a} {b}"])] == [x.encode() for x in (a, b, f"{a} {b}")]
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup(df).collect()} == {1: 0, 2: 0, 3: 20}
+    known = {r["doc_id"]: r["n_known"] for r in katz.scores(df, F.col("doc_id") == 1).collect()}
+    assert known == {1: 21, 2: 20, 3: 20}
+    packed = {r["doc_id"]: r["ids_crc32"] for r in pack.pack(df, BYTES, PATTERN, 65_536).collect()}
+    assert packed[1] != packed[2] == packed[3]
