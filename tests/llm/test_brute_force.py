@@ -269,29 +269,47 @@ def test_pack_is_best_fit(spark, docs, rows):
     assert len(sequences) <= math.ceil(total / 128) * 1.05 + 1
 
 
-def test_best_fit_like_the_plain_loop():
+def plain_best_fit(lengths, capacity, gaps=()):
+    gaps = list(gaps)
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps[gaps.index(min(fits))] -= x
+        else:
+            gaps.append(capacity - x)
+    return gaps
+
+
+def test_sweeps_like_the_plain_loop():
     rng = random.Random(8)
-    for _ in range(40):
+    for _ in range(60):
         lengths = [rng.randint(1, 50) for _ in range(rng.randint(0, 120))]
-        moves, n = pack.best_fit(collections.Counter(lengths), 50)
-        gaps: list[int] = []
-        for x in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= x]
-            if fits:
-                gaps[gaps.index(min(fits))] -= x
-            else:
-                gaps.append(50 - x)
-        assert n == len(gaps)
-        assert sum(b - a for _, a, b, _, _, _ in moves) == len(lengths)
-
-
-def test_neighbours_recall(spark):
+        free = sorted(rng.randint(1, 50) for _ in range(rng.choice([0, 0, 5, 30])))
+        moves, n, left = pack.best_fit(collections.Counter(lengths), 50, np.array(free, np.int64))
+        gaps = plain_best_fit(lengths, 50, free)
+        assert n == len(gaps) and sum(b - a for _, a, b, _, _, _ in moves) == len(lengths)
+        assert sorted(g for g, spans in left.items() for a, b in spans for _ in range(b - a)) == sorted(g for g in gaps if g)
+
+
+@pytest.mark.parametrize("lane_rows", [20, 10**6])
+def test_pack_needs_as_many_sequences_as_plain_best_fit(docs, lane_rows):
+    got = pack.pack(docs, BYTES, PATTERN, capacity=256, lane_rows=lane_rows).collect()
+    want = len(plain_best_fit([r["length"] for r in got], 256))
+    made = len({r["sequence_id"] for r in got})
+    if lane_rows > len(got):
+        assert made == want
+    else:  # lanes may each leave a sequence a round open
+        assert made <= want + len(pack.bands(256)) * -(-len(got) // lane_rows)
+
+
+@pytest.mark.parametrize("spread, block_rows", [(0, 8_192), (0, 500), (30, 500)])
+def test_neighbours_recall(spark, spread, block_rows):
     rng = np.random.default_rng(2)
-    v = rng.standard_normal((3_000, 24)).astype(np.float32)
-    v[100:140] = v[0]
+    v = (rng.standard_normal((3_000, 24)) + spread * rng.standard_normal((40, 24))[rng.integers(0, 40, 3_000)]).astype(np.float32)
+    v[100:1_100] = v[0]  # a third of the rows are one vector
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(df, 100, 10).collect():
+    for r in neighbours.nearest(df, 100, 10, block_rows=block_rows).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hits, w = 0, v.astype(np.float64)
     for q in range(0, 3_000, 100):
@@ -303,6 +321,16 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 300
 
 
+def test_neighbours_visit_only_blocks_in_reach(spark):
+    """Far clusters: a query is routed to blocks that its last neighbour's distance reaches on the ordering line."""
+    bounds = [(2, b, 10.0 * b, 10.0 * b + 4) for b in range(50)]
+    rows = [(1, [0.0, 1.0], 2, 102.0, 3.0, 10), (2, [0.0, 1.0], 2, 104.0, 7.0, 10), (3, [0.0, 1.0], 2, 0.0, float("inf"), 0)]
+    got = collections.defaultdict(set)
+    for r in neighbours._routed(spark.createDataFrame(rows, neighbours.ASKED), bounds).collect():
+        got[r["vec_id"]].add(r["block"])
+    assert got == {2: {11}, 3: set(range(1, 50))}
+
+
 @pytest.mark.parametrize("chunk", [3_000, 10**7])
 def test_katz(docs, rows, chunk, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK_BYTES", chunk)
