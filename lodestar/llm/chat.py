@@ -1,11 +1,16 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-A conversation's turns are cut into windows by prefix sums of their tokens: a
-window takes the turns whose running total ends in its share of half the budget,
-so a window stays within the budget unless one turn alone exceeds half of it.
+A conversation's turns are cut into windows by prefix sums of their tokens.
+What the budget leaves beside the system turn is the room for own turns; the
+running total is cut into cells of half that room, and a window takes the turns
+that end in one cell. A turn longer than a cell ends in a cell of its own or
+first in it and is a window alone, so a window's own turns fit into the room
+unless it is one turn alone.
+
 Each window starts with the conversation's system turn and repeats the last
-turns before it as history; repeated turns are context only and masked from the
-loss, so every target counts once.
+turns before it, as far as the budget goes; repeated turns are context only and
+masked from the loss, so every target counts once. A window is over the budget
+only if one of its own turns is that alone.
 
 Ranks and prefix sums come in two levels (blocks of turn numbers, then turns
 within a block), so a very long conversation is not sorted in one task; only a
@@ -61,28 +66,46 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 
 def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """One row a window: conv_id, window, formatted, n_context, loss.
+    """One row a window: conv_id, window, formatted, n_context, loss, tokens.
+
+    df: conv_id, turn, role, text. window: the number of its first own turn;
+    n_context: leading turns that are repeated (system turn and history); loss:
+    array<struct<start, length>> in code points of `formatted`, the assistant
+    turns that are new in this window; tokens: of all its turns, by tokens().
+
+    The system turn is the first turn of that role. It is repeated where it and
+    the own turns stay within the budget, or the own turn is over it alone.
+    History are the last turns before the window, at most `history` turns and
+    `history_tokens` tokens, and no more than the budget leaves.
 
-    df: conv_id, turn, role, text. n_context: leading turns that are repeated
-    (system turn and history); loss: array<struct<start, length>> in code
-    points of `formatted`, the assistant turns that are new in this window.
     Null text or role: empty. Turns go by turn number (nulls first), then role,
     then text; repeated rows are turns of their own; null conv_ids are one
     conversation. Other columns are not read; an empty table gives no rows.
     """
-    turns = _ordered(df).withColumn("w", F.floor((F.col("total") - 1) / (budget // 2)))
-    own = turns.select("conv", "w", "idx", F.lit(False).alias("again"), "role", "text")
-    first = turns.groupBy("conv", "w").agg(F.min("idx").alias("first")).filter("first > 1")
-    # the turns before a window that it repeats: the system turn and the last few of little length
-    wanted = first.select(
-        F.col("conv").alias("h_conv"), F.col("w").alias("h_w"), "first",
-        F.explode(F.array_distinct(F.concat(F.array(F.lit(1).cast("bigint")), F.filter(F.transform(F.sequence(F.lit(1), F.lit(history)), lambda k: F.col("first") - k), lambda i: i > 0)))).alias("h_idx"),
-    )
-    short = turns.filter(((F.col("idx") == 1) & (F.col("role") == "system")) | (F.col("tokens") <= history_tokens))
-    again = short.join(wanted, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("idx") == F.col("h_idx")))
-    again = again.filter(((F.col("idx") == 1) & (F.col("role") == "system")) | (F.col("idx") >= F.col("first") - history))
-    every = own.unionAll(again.select("conv", F.col("h_w").alias("w"), "idx", F.lit(True).alias("again"), "role", "text"))
-    grouped = every.groupBy("conv", "w").agg(F.array_sort(F.collect_list(F.struct("idx", "again", "role", "text"))).alias("turns"))
+    turns = _ordered(df)
+    system = turns.filter("role = 'system'").groupBy("conv").agg(F.min(F.struct("idx", "tokens", "role", "text")).alias("said")).withColumnRenamed("conv", "s_conv")
+    room = budget - F.least(F.coalesce("said.tokens", F.lit(0)), F.lit(budget // 2))
+    cell = F.floor((room + 1) / 2)
+    turns = turns.join(system, F.col("conv").eqNullSafe(F.col("s_conv")), "left")
+    # long turns come first of those that end in a cell
+    turns = turns.withColumn("cell", 2 * F.floor((F.col("total") - 1) / cell) + (F.col("tokens") <= cell).cast("int")).select("conv", "idx", "role", "text", "tokens", "cell", "said")
+    spans = turns.groupBy("conv", "cell").agg(F.min("idx").alias("first"), F.sum("tokens").alias("own"), F.first("said").alias("said"))
+    told = (F.col("said.idx") < F.col("first")) & ((F.col("said.tokens") + F.col("own") <= budget) | (F.col("own") > budget))
+    spans = spans.withColumn("told", F.coalesce(told, F.lit(False)))
+    left = F.least(F.lit(history_tokens), budget - F.col("own") - F.when(F.col("told"), F.col("said.tokens")).otherwise(0))
+    spans = spans.select(F.col("conv").alias("h_conv"), F.col("cell").alias("h_cell"), "first", "own", "told", "said", left.alias("left"))
+    retained = spans.filter("told").select(F.col("h_conv").alias("conv"), F.col("first").alias("w"), "said.idx", F.lit(True).alias("again"), "said.role", "said.text", "said.tokens")
+    # the turns before a window that it may repeat, nearest first
+    wanted = spans.filter("first > 1").withColumn("h_idx", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(history)), lambda k: F.col("first") - k), lambda i: i > 0)))
+    near = turns.drop("cell", "said").join(wanted, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("idx") == F.col("h_idx")))
+    near = near.filter(~(F.col("told") & (F.col("idx") == F.col("said.idx"))))
+    back = Window.partitionBy("conv", "first").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("run", F.sum("tokens").over(back)).filter(F.col("run") <= F.col("left"))
+    again = near.select("conv", F.col("first").alias("w"), "idx", F.lit(True).alias("again"), "role", "text", "tokens")
+    starts = spans.select("h_conv", "h_cell", "first")
+    own = turns.join(starts, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("cell") == F.col("h_cell"))).select("conv", F.col("first").alias("w"), "idx", F.lit(False).alias("again"), "role", "text", "tokens")
+    every = own.unionAll(retained).unionAll(again)
+    grouped = every.groupBy("conv", "w").agg(F.array_sort(F.collect_list(F.struct("idx", "again", "role", "text"))).alias("turns"), F.sum("tokens").alias("tokens"))
 
     def shown(t):
         return F.struct(F.concat(F.lit(BEGIN), escaped(t["role"], True), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body"), ((t["role"] == "assistant") & ~t["again"]).alias("target"))
@@ -99,7 +122,7 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, history
         F.col("conv").alias("conv_id"), F.col("w").cast("bigint").alias("window"),
         F.concat_ws("", F.transform("shown", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("formatted"),
         F.size(F.filter("turns", lambda t: t["again"])).alias("n_context"),
-        F.aggregate("shown", zero, place, lambda a: a["out"]).alias("loss"),
+        F.aggregate("shown", zero, place, lambda a: a["out"]).alias("loss"), "tokens",
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from . import bpe, chat, katz, media, neighbours, pack, pii, simhash, substring, toxicity
 
 
-
 def _chat_sql() -> str:
     """Turns and targets straight from the table, and the length of what the windows hold from their definition."""
     shown = "{}"
@@ -16,15 +15,23 @@ def _chat_sql() -> str:
     return f"""
 WITH source AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-turns AS (SELECT *, ROW_NUMBER() OVER o AS idx, CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}.0) AS BIGINT) + {chat.TURN_TOKENS} AS tokens,
-  SUM(CAST(ceil(length(text) / {chat.CHARS_PER_TOKEN}.0) AS BIGINT) + {chat.TURN_TOKENS}) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS total, {length} AS shown
-  FROM source WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-placed AS (SELECT *, (total - 1) // {chat.BUDGET // 2} AS w FROM turns),
-firsts AS (SELECT conv_id, w, MIN(idx) AS first FROM placed GROUP BY 1, 2),
-again AS (SELECT f.conv_id, SUM(p.shown) AS shown FROM firsts f JOIN placed p ON p.conv_id = f.conv_id AND p.idx < f.first
-  AND ((p.idx = 1 AND p.role = 'system') OR (p.idx >= f.first - {chat.HISTORY} AND p.tokens <= {chat.HISTORY_TOKENS})) GROUP BY 1),
+turns AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx,
+  (length(text) + {chat.CHARS_PER_TOKEN - 1}) // {chat.CHARS_PER_TOKEN} + {chat.TURN_TOKENS} AS tokens, {length} AS shown FROM source),
+sys AS (SELECT conv_id, MIN(idx) AS s_idx FROM turns WHERE role = 'system' GROUP BY 1),
+known AS (SELECT t.*, s_idx, s.tokens AS s_tokens, s.shown AS s_shown, ({chat.BUDGET} - LEAST(COALESCE(s.tokens, 0), {chat.BUDGET // 2}) + 1) // 2 AS half,
+  SUM(t.tokens) OVER (PARTITION BY t.conv_id ORDER BY t.idx) AS total
+  FROM turns t LEFT JOIN sys USING (conv_id) LEFT JOIN turns s ON s.conv_id = t.conv_id AND s.idx = s_idx),
+marked AS (SELECT *, CASE WHEN idx = 1 OR tokens > half OR LAG(tokens) OVER o > half OR ceil(total / half) > ceil(LAG(total) OVER o / half) THEN 1 ELSE 0 END AS fresh
+  FROM known WINDOW o AS (PARTITION BY conv_id ORDER BY idx)),
+placed AS (SELECT *, SUM(fresh) OVER (PARTITION BY conv_id ORDER BY idx) AS w FROM marked),
+spans AS (SELECT conv_id, w, MIN(idx) AS first, SUM(tokens) AS own, ANY_VALUE(s_idx) AS s_idx, ANY_VALUE(s_tokens) AS s_tokens, ANY_VALUE(s_shown) AS s_shown FROM placed GROUP BY 1, 2),
+told AS (SELECT *, COALESCE(s_idx < first AND (s_tokens + own <= {chat.BUDGET} OR own > {chat.BUDGET}), false) AS told FROM spans),
+room AS (SELECT *, LEAST({chat.HISTORY_TOKENS}, {chat.BUDGET} - own - CASE WHEN told THEN s_tokens ELSE 0 END) AS spare FROM told),
+near AS (SELECT r.conv_id, r.w, r.spare, p.shown, SUM(p.tokens) OVER (PARTITION BY r.conv_id, r.w ORDER BY p.idx DESC) AS run
+  FROM room r JOIN turns p ON p.conv_id = r.conv_id AND p.idx < r.first AND p.idx >= r.first - {chat.HISTORY} AND NOT (r.told AND p.idx = r.s_idx)),
+again AS (SELECT conv_id, SUM(shown) AS shown FROM (SELECT conv_id, shown FROM near WHERE run <= spare UNION ALL SELECT conv_id, s_shown FROM told WHERE told) GROUP BY 1),
 whole AS (SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
-  COALESCE(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '') AS loss, SUM(shown) AS shown FROM placed GROUP BY 1)
+  COALESCE(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '') AS loss, SUM(shown) AS shown FROM turns GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(whole.shown + COALESCE(again.shown, 0) AS BIGINT) AS formatted_chars
 FROM whole LEFT JOIN again USING (conv_id)"""
 
