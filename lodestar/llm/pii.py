@@ -31,9 +31,11 @@ PATTERNS = {
 #: What a text must contain for the pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?<=[0-9])(?:\.|$)){4}$"
+#: Stands for each character of a base span where candidates are sought; a private-use character.
+MASK = "\ue000"
 #: A token of digit groups only, less the punctuation behind it; a run of them with single spaces between; any token with a digit or an at sign.
-GROUPS = r"\(?+[0-9]++(?:[().-]{1,2}+[0-9]++)*+\)?+(?=[^\s0-9@\p{L}]*+(?!\S))"
-RUN = rf"[^\s0-9@\p{{L}}+(]*+\+?+{GROUPS}(?:\x20{GROUPS})*+\S*+"
+GROUPS = rf"\(?+[0-9]++(?:[().-]{{1,2}}+[0-9]++)*+\)?+(?=[^\s0-9@{MASK}\p{{L}}]*+(?!\S))"
+RUN = rf"[^\s0-9@{MASK}\p{{L}}+(]*+\+?+{GROUPS}(?:\x20{GROUPS})*+\S*+"
 CANDIDATE = rf"(?<!\S)(?:{RUN}|[^\s0-9@]*+[0-9@]\S*+)"
 #: Shapes that an unseen identifier of a kind may have.
 SHAPES = {
@@ -46,25 +48,70 @@ DIGITS = {"email": (0, 10**6), "ip": (1, 39), "card": (12, 19), "phone": (7, 15)
 CONTEXT_CHARS, CONTEXT_WORDS = 64, 2
 #: Different seeds that a pattern needs, and the confidence for a pattern to vote and for a candidate to be found.
 MIN_SEEDS, VOTE, FOUND, ROUNDS = 4, 0.5, 0.8, 3
+#: Values folded at once, and characters of a chunk that texts are cut from.
+BLOCK, CHUNK = 128, 512
+
+
+def running(values: Column, add, zero: Column) -> Column:
+    """For each of an array's values the fold of those before it: blocks first, then within blocks, so that no long array grows value by value."""
+    def befores(items, first):
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def cut(held):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int")), lambda b: F.slice(held, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def folded(blocks):  # each block's fold from zero, and what stands before it
+        return F.flatten(F.zip_with(blocks, befores(F.transform(blocks, lambda x: F.aggregate(x, zero, add)), zero), befores))
+
+    return once(values, lambda held: F.when(F.size(held) > 0, once(cut(held), folded)).otherwise(F.array().cast("array<int>")))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<s, e, t, before>>: start, end, text, and the gap before.
 
-    Code points, end exclusive; found from the matches and the gaps between them.
+    Code points, end exclusive; found from the matches and the gaps between them, in time linear in the text.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<s:int,e:int,t:string,before:string>>"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(found.alias("t"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("before"))
 
-    def step(acc, i):
-        gap, hit = F.get(acc["gaps"], i), F.get(acc["found"], i)
-        start = acc["at"] + F.char_length(gap)
-        end = start + F.char_length(hit)
-        made = F.struct(start.alias("s"), end.alias("e"), hit.alias("t"), gap.alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], made).alias("out"), acc["found"].alias("found"), acc["gaps"].alias("gaps"))
+    def placed(pairs: Column) -> Column:
+        starts = running(F.transform(pairs, lambda m: F.char_length(m["t"]) + F.char_length(m["before"])), lambda a, x: a + x, F.lit(0))
+        return F.zip_with(pairs, starts, lambda m, at: F.struct((at + F.char_length(m["before"])).alias("s"), (at + F.char_length(m["before"]) + F.char_length(m["t"])).alias("e"), m["t"].alias("t"), m["before"].alias("before")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"), found.alias("found"), gaps.alias("gaps"))
-    return F.aggregate(F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>")), first, step, lambda a: a["out"])
+    return once(pairs, placed)
+
+
+def once(value: Column, fn) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def replaced(text: Column, found: Column, piece) -> Column:
+    """The text with piece(m, from, fresh) for each span m of an array by start; `from`: where what is new of m begins, `fresh`: whether m overlaps none before it.
+
+    The text is cut from chunks of CHUNK characters, so that a place far on costs no more than one near the start.
+    """
+
+    def of(chunks: Column) -> Column:
+        def cut(a, b):  # characters a..b-1
+            i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+            head = F.substring(F.get(chunks, i), a - i * CHUNK + 1, F.lit(CHUNK))
+            tail = F.substring(F.coalesce(F.get(chunks, j), F.lit("")), F.lit(1), b - j * CHUNK)
+            same = F.substring(F.coalesce(F.get(chunks, i), F.lit("")), a - i * CHUNK + 1, b - a)
+            inner = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            return F.when(a >= b, "").when(i == j, same).otherwise(F.concat(head, inner, tail))
+
+        def put(spans: Column) -> Column:
+            ends = running(F.transform(spans, lambda x: x["m"]["e"]), lambda a, x: F.greatest(a, x), F.lit(0))
+            made = F.zip_with(spans, ends, lambda x, at: F.concat(cut(at, F.greatest(at, x["m"]["s"])), piece(x["m"], F.greatest(at, x["m"]["s"]), x["m"]["s"] >= at)))
+            last = F.array_max(F.transform(spans, lambda x: x["m"]["e"]))
+            length = (F.size(chunks) - 1) * CHUNK + F.char_length(F.element_at(chunks, -1))
+            return F.concat(F.array_join(made, ""), cut(last, length))
+
+        return once(F.transform(found, lambda m: F.struct(m.alias("m"))), put)
+
+    return F.when(F.size(found) > 0, once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), of)).otherwise(text)
 
 
 def digits(text: Column) -> Column:
@@ -116,7 +163,7 @@ def context(before: Column) -> Column:
 def _scan(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(id, key, base, loose): base spans, and candidates that overlap none, with contexts instead of gaps.
 
-    A run ends at a base span. It is a candidate as a whole if that has the shape of a kind, or else its first token is.
+    A token that a base span is in, or that holds the character MASK, is no candidate. A run ends at a base span. It is a candidate as a whole if that has the shape of a kind, or else its first token is.
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("key"), "text", base_spans(F.col("text")).alias("raw"))
@@ -133,10 +180,9 @@ def _scan(df: DataFrame, text: str, doc_id: str) -> DataFrame:
         first = F.struct(m["s"].alias("s"), (m["s"] + F.char_length(F.substring_index(m["t"], " ", 1))).alias("e"), F.substring_index(m["t"], " ", 1).alias("t"), m["before"].alias("before"))
         return F.when(m["t"].contains(" ") & ~shaped, first).otherwise(m)
 
-    # base spans become words of at signs, which no run holds
-    masked = F.aggregate("base", F.col("text"), lambda a, m: F.overlay(a, F.repeat(F.lit("@"), m["e"] - m["s"]), m["s"] + 1, m["e"] - m["s"]))
-    rows = rows.withColumn("base", base).withColumn("masked", F.when(F.size("base") > 0, masked).otherwise(F.col("text")))
-    apart = F.filter(matches(F.col("masked"), CANDIDATE), lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+    masked = replaced(F.col("text"), F.col("base"), lambda m, at, fresh: F.repeat(F.lit(MASK), F.greatest(m["e"] - at, F.lit(0))))
+    rows = rows.withColumn("base", base).withColumn("masked", masked)
+    apart = F.filter(matches(F.col("masked"), CANDIDATE), lambda m: ~m["t"].contains(MASK))
     loose = F.filter(F.transform(F.transform(apart, fitting), trimmed), lambda m: (m["p"] != "") & (m["e"] > m["s"]))
     return rows.select("id", "key", "base", F.when(F.col("text").rlike("[0-9@]"), loose).otherwise(F.array().cast("array<struct<s:int,e:int,t:string,p:string>>")).alias("loose"))
 
@@ -149,7 +195,9 @@ def _fits(kind: str, text: Column) -> Column:
 def discovered(scanned: DataFrame) -> DataFrame:
     """(id, key, s, k, e) of the candidates that the graph finds."""
     seeds = scanned.select(F.explode("base").alias("m")).select(F.col("m.p").alias("p"), F.col("m.t").alias("t"), F.col("m.k").alias("k")).filter("p <> ''").distinct()
-    support = seeds.groupBy("p", "k").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
+    support = checkpoint(seeds.groupBy("p", "k").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS))
+    if support.isEmpty():  # no pattern, so no candidate is heard
+        return scanned.limit(0).select("id", "key", *[F.lit(0).alias(c) for c in ("s", "k", "e")])
     named = F.filter(F.array(*[F.when(_fits(kind, F.col("t")), F.lit(k)) for k, kind in enumerate(KINDS)]), lambda x: x.isNotNull())
     loose = scanned.select("id", "key", F.explode("loose").alias("m")).select("id", "key", "m.s", "m.e", F.col("m.t").alias("t"), F.col("m.p").alias("p"))
     loose = checkpoint(loose.join(support.select("p").distinct(), "p", "left_semi"))
@@ -200,14 +248,7 @@ def spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span's label in its place; spans that run into one another get one label."""
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc, m):
-        fresh = m["s"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, m["s"] - acc["at"]), F.get(labels, m["k"]))).otherwise("")
-        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(found, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    return replaced(text, found, lambda m, at, fresh: F.when(fresh, F.get(labels, m["k"])).otherwise(""))
 
 
 def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

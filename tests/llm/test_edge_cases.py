@@ -135,6 +135,20 @@ def test_pii(docs, empty):
     assert pii.spans(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_pii_in_long_texts_of_digits(spark):
+    """10 MB of numbers, and many spans in one text: the fixed patterns as a plain loop finds them, in time linear in the text."""
+    import re
+
+    phone = "+1 (988) 555-2499"
+    texts = [" ".join(f"n{i}x 10.0.{i % 250}.{i % 256},{phone}" for i in range(40_000)), "x".join(str(i % 10_000) for i in range(2_100_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(2)
+    got = {r["id"]: r["base"] for r in pii.spans(df).collect()}
+    want = [(m.start(), 1 if m[0][0] != "+" else 3, m.end()) for m in re.finditer(r"10\.0\.\d+\.\d+|\+1 \(988\) 555-2499", texts[0])]
+    assert [(m["s"], m["k"], m["e"]) for m in got[0] if m["k"] != 2] == want and got[1] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[0] == re.sub(r"10\.0\.\d+\.\d+", "[IP]", texts[0].replace(phone, "[PHONE]")) and clean[1] == texts[1]
+
+
 def test_pack(docs, empty):
     got = pack.pack(docs, BYTES, PATTERN).collect()
     places: dict = {}
