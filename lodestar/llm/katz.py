@@ -1,37 +1,46 @@
 """Language-model scores by Katz backoff over words.
 
-Bigrams back off to words, words to the class of unknown words. Counts up to
-K are discounted by Good-Turing; a history's left-over mass goes to the words
-not seen after it, in proportion to their own probability, so that each history's
-probabilities sum to one exactly.
-
-The model lives in tables partitioned by hash. Chunks of documents ask for the
-counts of their distinct words, then for those of their distinct bigrams
-(chunks.py), so map-side counting comes before any exchange, and a task holds one
-chunk or one part. A history with more than a thousandth of all tokens is split
-over all parts by the next word, and its sums meet in a small aggregate.
+The model has n-grams of `order` words at most; one whose n-gram was not seen
+backs off to the history less its first word, down to words and then to one
+class of unknown words. Counts up to K are discounted by Good-Turing; a
+history's left-over mass goes to the words not seen after it, in proportion to
+their probability one order below, so that each history's probabilities sum to
+one exactly.
+
+The model lives in tables partitioned by hash, a table an order. Chunks of
+documents ask the tables about their distinct words, which are compared by
+their bytes and get numbers; then about their distinct pairs of numbers, which
+get numbers in turn, and so on (chunks.py): nothing is told apart by hashes, and
+map-side counting comes before any exchange. Evaluation goes up the same
+orders, each token's probability from its n-gram's answer or its backoff. A
+task holds one chunk or one part. A history with more than a thousandth of all
+tokens is split over all parts by the next word, and its sums meet in a small
+aggregate.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import struct
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import U64, Words, arrow_schema, crc_mod, mix64, pack_ints, pack_sorted, text_buffer, unpack_ints, unpack_sorted
+from .common import U64, Words, arrow_schema, crc_mod, mix64, pack_bytes, pack_ints, pack_sorted, text_buffer, unpack_bytes, unpack_ints, unpack_sorted
 
 K = 5
 #: A history of this share of the tokens is dealt out by the next word.
 HOT_SHARE = 1024
 CHUNK_BYTES = 8_000_000
-END, START = (U64(x) for x in mix64(np.array([0xE0D, 0xB05], U64)))
-#: Words go by the upper 56 bits of their hashes; the difference is a byte a word on the wire.
-KEY_BITS = U64(0xFFFFFFFFFFFFFF00)
+ORDER = 2
+#: Words hold no white space, so these name the end of a text and the history of its first token.
+END, START = b"\n", b"\t"
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -51,7 +60,7 @@ def unblobs(raw: bytes, n: int) -> list[bytes]:
 def discounts(n: list[int]) -> np.ndarray:
     """Good-Turing discount factors d[0..K] from the numbers of types seen 1..K+1 times; d[0] is unused.
 
-    Where those numbers give no factor in (0, 1], half a count is taken off instead.
+    Where those numbers give no factor between 0 and 1, half a count is taken off instead.
     """
     d = 1 - 0.5 / np.arange(1, K + 1)
     if n[0] > 0:
@@ -59,7 +68,7 @@ def discounts(n: list[int]) -> np.ndarray:
         for r in range(1, K + 1):
             if n[r - 1] > 0 and n[r] > 0 and top < 1:
                 x = ((r + 1) * n[r] / (n[r - 1] * r) - top) / (1 - top)
-                if 0 < x <= 1:
+                if 0 < x < 1:
                     d[r - 1] = x
     return np.concatenate([[1.0], d])
 
@@ -82,73 +91,163 @@ class Unigrams:
         return np.where(count > 0, seen, self.unknown)
 
 
-def histories(d: np.ndarray, total: np.ndarray, few: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weight of each history and the scale of its seen words.
+def left_over(d: np.ndarray, total: np.ndarray, none: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """The mass that histories keep to back off with.
 
-    total: its count; few: [.., K] numbers of successors seen 1..K times;
-    covered: the sum of its successors' word probabilities. Where no count is
-    discounted, one more than the total is divided by, and the one backs off.
-    An unseen history backs off wholly.
+    total: their counts; few: [.., K] numbers of successors seen 1..K times;
+    none: whether there are no such, so that no count is discounted. Then one
+    more than the total is divided by, and the one backs off.
     """
     left = (few * ((1 - d[1:]) * np.arange(1, K + 1))).sum(axis=-1) / np.maximum(total, 1)
-    none = (left <= 0) & (total > 0)
-    left = np.where(none, 1 / (total + 1), left)
-    scale = np.where(none, total / (total + 1), 1.0)
-    return np.where(total > 0, left / np.maximum(1 - covered, 1e-12), 1.0), scale
+    return np.where(none, 1 / (total + 1), left)
+
+
+class Level:
+    """A chunk's distinct n-grams of one order: their history (an n-gram of the order below) and word, what they back off to, and training counts."""
+
+    def __init__(self, which, history, word, lower, mine):
+        self.which = which  # of each token, -1 where it stands too near the start of its text
+        self.history, self.word, self.lower, self.mine = history, word, lower, mine
 
 
 class Tokens:
-    """A chunk's tokens by document, its distinct words, and its distinct bigrams by history and word."""
+    """A chunk's tokens by document, and its levels."""
 
     def __init__(self, batch: pa.RecordBatch):
         words = Words(*text_buffer(batch.column(1)), lower=True)
-        n_docs = batch.num_rows
+        distinct, index = words.encoded()
+        self.names = [*distinct.to_pylist(), END, START]
         self.count = words.count + 1
-        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.count)
+        self.doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), self.count)
         last = np.cumsum(self.count) - 1
-        token = np.full(len(self.doc), END)
+        token = np.full(len(self.doc), len(distinct), np.int64)
         word = np.ones(len(self.doc), bool)
         word[last] = False
-        token[word] = words.hashes()
+        token[word] = index
         self.train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         self.weight = self.train[self.doc]
-        token = np.concatenate([token, [START]]) & KEY_BITS
-        self.keys, self.word = np.unique(token, return_inverse=True)
-        start, self.word = self.word[-1].astype(np.int32), self.word[:-1].astype(np.int32)
-        self.start = int(start)
-        self.history = np.concatenate([[start], self.word[:-1]]) if len(token) else self.word
-        self.history[last + 1 - self.count] = start
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.word[self.weight], minlength=len(self.keys))
-
-    def pairs(self):
-        """Distinct (history, word), training counts, and each token's pair."""
-        wide = len(self.keys)
-        pair, which = np.unique(self.history.astype(np.int64) * wide + self.word, return_inverse=True)
-        return pair // wide, pair % wide, np.bincount(which[self.weight], minlength=len(pair)), which
-
-    def plan(self, h: np.ndarray, w: np.ndarray, count: np.ndarray, n: int, parts: int):
-        """The pairs' order on the wire, and rows (kind, part, first, last) of it; the same each time."""
-        size = count.copy()
-        size[self.start] = count[np.searchsorted(self.keys, END & KEY_BITS)] if END & KEY_BITS in self.keys else 0
-        hot = (size * HOT_SHARE >= n) & (size > 0)
-        out, order, at = [], [], 0
-        plain = np.flatnonzero(~hot[h])
-        edge = C.part_bounds(self.keys[h[plain]], parts)
-        out += [("bi", p, a, b) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-        order.append(plain)
-        at = len(plain)
-        much = np.flatnonzero(hot[h])
-        edges = C.part_bounds(self.keys, parts)
-        part = np.searchsorted(edges[1:-1], w[much], side="right")
-        much = much[np.lexsort((w[much], h[much], part))]
-        part = np.sort(part)
-        for p in np.unique(part).tolist():
-            a, b = np.searchsorted(part, [p, p + 1])
-            out.append(("hot", p, at + int(a), at + int(b)))
-        order.append(much)
-        return np.concatenate(order).astype(np.int64), out, hot
+        self.place = np.arange(len(token)) - np.repeat(last + 1 - self.count, self.count)
+        self.levels = [Level(token, None, None, None, np.bincount(token[self.weight], minlength=len(self.names)))]
+
+    def level(self, k: int) -> Level:
+        """The n-grams of k words; a text's first token has the history START, and none longer."""
+        while len(self.levels) < k:
+            n, below, word = len(self.levels) + 1, self.levels[-1].which, self.levels[0].which
+            at = np.flatnonzero(self.place >= n - 2)
+            history = np.where(self.place[at] > 0, below[at - 1], len(self.names) - 1)
+            pair, first, which = np.unique(history * len(self.names) + word[at], return_index=True, return_inverse=True)
+            every = np.full(len(word), -1, np.int64)
+            every[at] = which
+            mine = np.bincount(which[self.weight[at]], minlength=len(pair))
+            self.levels.append(Level(every, pair // len(self.names), pair % len(self.names), below[at[first]], mine))
+        return self.levels[k - 1]
+
+
+def _ranges(part: np.ndarray, hot: np.ndarray) -> list[tuple[str, int, int, int]]:
+    """(kind, part, first, last) of the runs of equal part and kind."""
+    if not len(part):
+        return []
+    edge = np.concatenate([[0], np.flatnonzero((np.diff(part) != 0) | (np.diff(hot) != 0)) + 1, [len(part)]]).tolist()
+    return [("hot" if hot[a] else "plain", int(part[a]), a, b) for a, b in zip(edge, edge[1:])]
+
+
+class Model:
+    """What the tables have answered a chunk so far: by level, numbers and counts of its n-grams, and what its histories keep."""
+
+    def __init__(self, tokens: Tokens, parts: int, rows: list[tuple]):
+        """rows: (level, part, kind, a, b, c) and, of level zero, what the whole corpus says of each level."""
+        self.tokens, self.parts, self.rows = tokens, parts, rows
+        self.said = [json.loads(r[3]) for r in sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])]
+        self.by = {r[:3]: r[3:] for r in rows if r[0]}
+        self.id, self.total, self.p, self.sums, self.none = [], [], [], [], []
+        for k in range(1, len(self.said) + 1):
+            self._words() if k == 1 else self._grams(k)
+
+    def word_plan(self):
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, self.tokens.names), U64, len(self.tokens.names))
+        part = (hashed % U64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return order, _ranges(part[order], np.zeros(len(order), np.int8))
+
+    def plan(self, k: int):
+        """The order that level k is asked in, and runs of it by part."""
+        level = self.tokens.level(k)
+        size = self.total[k - 2].copy()
+        if k == 2:
+            size[-1] = size[-2]  # as many texts begin as end
+        hot = (size * HOT_SHARE >= max(1, self.said[0]["n"]))[level.history]
+        history, word = self.id[k - 2][level.history], self.id[0][level.word]
+        part = (mix64(np.where(hot, ~word, history).astype(U64)) % U64(self.parts)).astype(np.int64)
+        order = np.lexsort((word, history, hot, part))
+        return order, _ranges(part[order], hot[order].astype(np.int8))
+
+    def _words(self):
+        n = len(self.tokens.names)
+        ids, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        order, plan = self.word_plan()
+        for kind, p, a, b in plan:
+            local, counts, _ = self.by[1, p, kind]
+            ids[order[a:b]] = unpack_ints(local, np.int64) * self.parts + p
+            total[order[a:b]] = unpack_ints(counts, np.int64)
+        said = self.said[0]
+        self.uni = Unigrams(said["n"], said["v"], said["r"])
+        self._add(ids, total, self.uni.p(total), None, None)
+
+    def _add(self, *values):
+        for held, value in zip((self.id, self.total, self.p, self.sums, self.none), values):
+            held.append(value)
+
+    def _grams(self, k: int):
+        level, d = self.tokens.level(k), discounts(self.said[k - 1]["r"])
+        order, plan = self.plan(k)
+        total, ids, wide = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), len(self.id[k - 2])
+        sums, none, alpha = np.zeros(wide, np.int64), np.zeros(wide, bool), np.ones(wide)
+        for kind, p, a, b in plan:
+            counts, about, local = self.by[k, p, kind]
+            mine = order[a:b]
+            total[mine] = unpack_ints(counts, np.int64)
+            if local is not None:
+                ids[mine] = unpack_ints(local, np.int64) * self.parts + p
+            if kind == "plain":
+                who = level.history[mine][_runs(level.history[mine])[0]]
+                need = np.isin(who, level.history[mine][total[mine] == 0])
+                both, few, covered = unblobs(about, 3)
+                both = unpack_ints(both, np.int64)
+                sums[who], none[who] = both >> 1, both & 1
+                who = who[need]
+                left = left_over(d, sums[who], none[who], unpack_ints(few, np.int64).reshape(-1, K))
+                alpha[who] = np.where(sums[who] > 0, left / np.maximum(1 - unpack_ints(covered, np.float64), 1e-12), 1.0)
+        hot = {x["h"]: x for x in self.said[k - 1]["hot"]}
+        for i in np.flatnonzero(np.isin(self.id[k - 2], list(hot))) if hot else ():
+            x = hot[int(self.id[k - 2][i])]
+            few = np.array(x["n"])
+            sums[i], none[i] = x["c"], x["c"] > 0 and not few.any()
+            alpha[i] = left_over(d, sums[i], none[i], few) / max(1 - x["s"], 1e-12) if x["c"] else 1.0
+        h = level.history
+        scale = np.where(none[h], sums[h] / (sums[h] + 1), 1.0)
+        seen = d[np.where(total <= K, total, 0)] * total / np.maximum(sums[h], 1) * scale
+        self._add(ids, total, np.where(total > 0, seen, alpha[h] * self.p[k - 2][level.lower]), sums, none)
+
+    def ask(self, k: int, chunk: int):
+        """Messages of level k."""
+        if k == 1:
+            order, plan = self.word_plan()
+            mine = self.tokens.levels[0].mine[order]
+            return [(p, chunk, kind, pack_bytes(b" ".join([self.tokens.names[i] for i in order[a:b].tolist()])), pack_ints(mine[a:b]), None) for kind, p, a, b in plan]
+        level, out = self.tokens.level(k), []
+        order, plan = self.plan(k)
+        history, word, mine, lower = level.history[order], level.word[order], level.mine[order], level.lower[order]
+        of_lower = np.where(mine > 0, self.total[k - 2][lower], 0)  # needed where the n-gram was seen
+        for kind, p, a, b in plan:
+            first, size = _runs(history[a:b])
+            who = history[a:b][first]
+            below = b""
+            if k > 2:  # the count of the history less its first word, where words were seen
+                h = self.tokens.level(k - 1).history[lower[a:b][first]]
+                below = pack_ints(self.sums[k - 2][h] * 2 + self.none[k - 2][h])
+            grams = blobs(pack_sorted(self.id[k - 2][who].astype(U64)), pack_ints(size), below, json.dumps(self.said).encode() if k == 2 else json.dumps([{"r": x["r"]} for x in self.said]).encode())
+            out.append((p, chunk, kind, grams, blobs(pack_ints(self.id[0][word[a:b]]), pack_ints(of_lower[a:b])), pack_ints(mine[a:b])))
+        return [*out, (C.home_part(chunk, self.parts), chunk, "echo", pickle.dumps(self.rows), None, None)]
 
 
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,148 +257,137 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer_words(part: int, rows: list) -> list[tuple]:
-    held = [unpack_sorted(a) for _, _, a, _, _ in rows]
-    _, which = np.unique(np.concatenate(held), return_inverse=True)
+    """The words of a part: their numbers, the same word's the same, and counts."""
+    held = [unpack_bytes(a).split(b" ") for _, _, a, _, _ in rows]
+    size = [len(h) for h in held]
+    which = pa.array([w for h in held for w in h], pa.large_binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    del held
     total = np.bincount(which, np.concatenate([unpack_ints(b, np.int64) for _, _, _, b, _ in rows])).astype(np.int64)
+    order = np.argsort(-total, kind="stable")  # frequent words have small numbers
+    number = np.empty(len(total), np.int64)
+    number[order] = np.arange(len(total))
     out, at = [], 0
-    for (chunk, *_), h in zip(rows, held):
-        out.append((part, chunk, "words", pack_ints(total[which[at : at + len(h)]]), None, None))
-        at += len(h)
-    said = {"n": int(total.sum()), "v": int((total > 0).sum()), "r": np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()}
+    for (chunk, kind, *_), n in zip(rows, size):
+        mine = which[at : at + n]
+        out.append((part, chunk, kind, pack_ints(number[mine]), pack_ints(total[mine]), None))
+        at += n
+    said = {"n": int(total.sum()), "v": int((total > 0).sum()), "r": np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(), "hot": []}
     return [*out, (part, -1, "stats", json.dumps(said).encode(), None, None)]
 
 
-def _answer_pairs(part: int, rows: list) -> list[tuple]:
+def _answer_grams(part: int, rows: list, level: int, last: bool) -> list[tuple]:
+    """The n-grams of a part: their counts and numbers, and what their histories keep."""
     out = [(part, chunk, "echo", a, b, c) for chunk, kind, a, b, c in rows if kind == "echo"]
-    rest, hot_sums = [0] * (K + 1), []
-    for kind in ("bi", "hot"):
+    rest, hot_sums, base = np.zeros(K + 1, np.int64), [], 0
+    for kind in ("plain", "hot"):
         asked = [r for r in rows if r[1] == kind]
         if not asked:
             continue
-        histories_, sizes, words, count_of_word, counts, stats = [], [], [], [], [], None
+        histories_, sizes, below, words, of_lower, counts = ([] for _ in range(6))
         for _, _, a, b, c in asked:
-            x, y, stats = unblobs(a, 3)
+            x, y, z, said = unblobs(a, 4)
             histories_.append(unpack_sorted(x))
             sizes.append(unpack_ints(y, np.int64))
+            if level > 2:
+                below.append(unpack_ints(z, np.int64))
             x, y = unblobs(b, 2)
-            words.append(unpack_ints(x, U64))
-            count_of_word.append(unpack_ints(y, np.int64))
+            words.append(unpack_ints(x, np.int64))
+            of_lower.append(unpack_ints(y, np.int64))
             counts.append(unpack_ints(c, np.int64))
-        uni = Unigrams(**json.loads(stats))
+        said = json.loads(said)
         known, h_of = np.unique(np.concatenate(histories_), return_inverse=True)
         h = np.repeat(h_of, np.concatenate(sizes))
-        key = mix64(known[h] ^ (np.concatenate(words) * U64(0x9E3779B97F4A7C15)))
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        names, w = np.unique(np.concatenate(words), return_inverse=True)
+        _, first, which = np.unique(h * len(names) + w, return_index=True, return_inverse=True)
+        del words, w
         total = np.bincount(which, np.concatenate(counts)).astype(np.int64)
         of, seen = h[first], total > 0
         few = np.zeros((len(known), K), np.int64)
         small = seen & (total <= K)
         np.add.at(few, (of[small], total[small] - 1), 1)
         sums = np.bincount(of, total, len(known)).astype(np.int64)
-        of_word = np.zeros(len(first), np.int64)
-        np.maximum.at(of_word, which, np.concatenate(count_of_word))
-        covered = np.bincount(of[seen], uni.p(of_word[seen]), len(known))
-        by = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
-        rest = [int(a + b) for a, b in zip(rest, by)]
+        lower = np.zeros(len(first), np.int64)
+        np.maximum.at(lower, which, np.concatenate(of_lower))
+        if level == 2:
+            p = Unigrams(said[0]["n"], said[0]["v"], said[0]["r"]).p(lower)
+        else:
+            both = np.zeros(len(known), np.int64)
+            np.maximum.at(both, h_of, np.concatenate(below))
+            count, none = both[of] >> 1, both[of] & 1
+            p = discounts(said[level - 2]["r"])[np.where(lower <= K, lower, 0)] * lower / np.maximum(count, 1) * np.where(none, count / (count + 1), 1.0)
+        covered = np.bincount(of[seen], p[seen], len(known))
+        rest += np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
+        none = (sums > 0) & ~few.any(axis=1)
         at = hat = 0
         for (chunk, *_), hs, size in zip(asked, histories_, sizes):
             n, mine = int(size.sum()), h_of[hat : hat + len(hs)]
-            about = None
-            if kind == "bi":
-                about = blobs(pack_ints(sums[mine]), pack_ints(few[mine].ravel()), pack_ints(covered[mine]))
-            out.append((part, chunk, kind, pack_ints(total[which[at : at + n]]), about, None))
+            gram, about = which[at : at + n], None
+            if kind == "plain":  # what is backed off with goes to chunks that need it
+                need = np.add.reduceat((total[gram] == 0).astype(np.int64), np.cumsum(size) - size) > 0
+                about = blobs(pack_ints(sums[mine] * 2 + none[mine]), pack_ints(few[mine[need]].ravel()), pack_ints(covered[mine[need]]))
+            out.append((part, chunk, kind, pack_ints(total[gram]), about, None if last else pack_ints(gram + base)))
             at, hat = at + n, hat + len(hs)
         if kind == "hot":
-            hot_sums = [{"h": x, "c": a, "n": b, "s": c} for x, a, b, c in zip(known.view(np.int64).tolist(), sums.tolist(), few.tolist(), covered.tolist())]
-    said = {"r": rest, "hot": hot_sums}
-    return [*out, (part, -1, "stats", json.dumps(said).encode(), None, None)]
+            hot_sums = [{"h": x, "c": a, "n": b, "s": c} for x, a, b, c in zip(known.astype(np.int64).tolist(), sums.tolist(), few.tolist(), covered.tolist())]
+        base += len(total)
+    return [*out, (part, -1, "stats", json.dumps({"n": 0, "v": 0, "r": rest.tolist(), "hot": hot_sums}).encode(), None, None)]
 
 
-def _sums(n: int) -> list:
-    return [F.sum(F.col("x.r")[i]) for i in range(n)]
+def _said(answers: DataFrame):
+    """What the parts say of a level, summed: one JSON string. Hot histories are fewer than HOT_SHARE + 2."""
+    said = answers.filter("kind = 'stats'").select(F.from_json(F.col("a").cast("string"), "n bigint, v bigint, r array<bigint>, hot array<struct<h:bigint,c:bigint,n:array<bigint>,s:double>>").alias("x"))
+    sums = said.agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v"), F.array(*[F.coalesce(F.sum(F.col("x.r")[i]), F.lit(0)) for i in range(K + 1)]).alias("r"))
+    hot = said.select(F.explode("x.hot").alias("y")).groupBy("y.h").agg(F.sum("y.c").alias("c"), F.array(*[F.sum(F.col("y.n")[i]) for i in range(K)]).alias("n"), F.sum("y.s").alias("s"))
+    hot = hot.agg(F.collect_list(F.struct("h", "c", "n", "s")).alias("hot"))
+    return sums.select(F.to_json(F.struct("n", "v", "r", hot.scalar().alias("hot"))))
 
 
-def scores(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scores(df: DataFrame, train, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
     """RESULT for each row; `train` is a boolean Column: which rows the model learns from.
 
     Tokens are lower-cased (A-Z) words and one end a text. Null text: like an
     empty one, its end only. Null ids and repeated rows count like any others.
     With no training rows every token is unknown with probability one. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. `order`: words of the
+    longest n-grams, 1 or more.
     """
     source = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     parts, names = C.parts_for(df, text), arrow_schema(RESULT)
     chunks = C.packed(source, "text", "doc_id", CHUNK_BYTES)
 
+    def heard(rows: list, level: int) -> list[tuple]:
+        """The rows of all levels up to this one, from its answers and the echo of those below."""
+        out = [x for r in rows if r[1] == "echo" for x in pickle.loads(r[2])]
+        return [*out, (0, level, "", rows[0][-1], None, None), *[(level, r[0], *r[1:5]) for r in rows if r[1] != "echo"]]
+
     def ask_words(chunk, batch):
-        t = Tokens(batch)
-        edge, count = C.part_bounds(t.keys, parts), t.counts()
-        return [(p, chunk, "words", pack_sorted(t.keys[a:b]), pack_ints(count[a:b]), None) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+        return Model(Tokens(batch), parts, []).ask(1, chunk)
 
-    def ask_pairs(chunk, batch, rows):
-        t = Tokens(batch)
-        stats = rows[0][-1]
-        count = np.concatenate([unpack_ints(r[2], np.int64) for r in rows])
-        h, w, mine, _ = t.pairs()
-        order, plan, _ = t.plan(h, w, count, json.loads(stats)["n"], parts)
-        h, w, mine = h[order], w[order], mine[order]
-        out = []
-        for kind, p, a, b in plan:
-            first, size = _runs(h[a:b])
-            who = pack_sorted(t.keys[h[a:b][first]])
-            of_word = np.where(mine[a:b] > 0, count[w[a:b]], 0)  # needed where the pair was seen
-            out.append((p, chunk, kind, blobs(who, pack_ints(size), stats.encode()), blobs(pack_ints(t.keys[w[a:b]] >> U64(16)), pack_ints(of_word)), pack_ints(mine[a:b])))
-        out.append((C.home_part(chunk, parts), chunk, "echo", pack_ints(count), stats.encode(), None))
-        return C.messages(out)
+    def ask_grams(chunk, batch, rows, level):
+        return C.messages(Model(Tokens(batch), parts, heard(rows, level - 1)).ask(level, chunk))
 
     def evaluate(chunk, batch, rows):
         t = Tokens(batch)
-        echo = next(r for r in rows if r[1] == "echo")
-        count, said = unpack_ints(echo[2], np.int64), json.loads(echo[3])
-        uni, d = Unigrams(**said), discounts(json.loads(rows[0][-2])["r"])
-        hot_sums = {np.int64(x["h"]).astype(U64): x for x in json.loads(rows[0][-1])}
-        h, w, _, which = t.pairs()
-        order, plan, hot = t.plan(h, w, count, said["n"], parts)
-        by = {(r[1], r[0]): r for r in rows}
-        total, alpha, scale = np.zeros(len(h), np.int64), np.ones(len(t.keys)), np.ones(len(t.keys))
-        history_total = np.zeros(len(t.keys), np.int64)
-        for kind, p, a, b in plan:
-            _, _, found, about, *_ = by[kind, p]
-            mine = order[a:b]
-            total[mine] = unpack_ints(found, np.int64)
-            if kind == "bi":
-                first, _ = _runs(h[mine])
-                who = h[mine][first]
-                sums, few, covered = unblobs(about, 3)
-                sums = unpack_ints(sums, np.int64)
-                history_total[who] = sums
-                alpha[who], scale[who] = histories(d, sums, unpack_ints(few, np.int64).reshape(-1, K), unpack_ints(covered, np.float64))
-        for i in np.flatnonzero(hot):
-            if (x := hot_sums.get(t.keys[i])) is not None:
-                history_total[i] = x["c"]
-                alpha[i], scale[i] = histories(d, np.array(x["c"]), np.array(x["n"]), np.array(x["s"]))
-        p1 = uni.p(count)
-        seen = total > 0
-        pair = np.where(seen, d[np.where(total <= K, total, 0)] * total / np.maximum(history_total[h], 1) * scale[h], alpha[h] * p1[w])
-        known = count > 0
-        base = np.log10((count + 1) / (uni.n + uni.v + 1))
+        model = Model(t, parts, heard(rows, order))
+        word, uni = t.levels[0].which, model.uni
+        p = model.p[0][word]
+        for k in range(2, order + 1):
+            which = t.level(k).which
+            p = np.where(which >= 0, model.p[k - 1][which] if len(model.p[k - 1]) else p, p)
+        known, base = model.total[0] > 0, np.log10((model.total[0] + 1) / (uni.n + uni.v + 1))
         docs = batch.num_rows
         columns = [
             batch.column(0), pa.array(~t.train), pa.array(t.count, pa.int64()),
-            pa.array(np.bincount(t.doc, known[t.word], docs).astype(np.int64)), pa.array(np.full(docs, uni.n, np.int64)),
-            pa.array(np.bincount(t.doc, base[t.word], docs)), pa.array(np.bincount(t.doc, np.log10(pair)[which], docs)),
+            pa.array(np.bincount(t.doc, known[word], docs).astype(np.int64)), pa.array(np.full(docs, uni.n, np.int64)),
+            pa.array(np.bincount(t.doc, base[word], docs)), pa.array(np.bincount(t.doc, np.log10(p), docs)),
         ]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, names)], schema=names)
 
-    words = C.answer(C.ask(chunks, ask_words), _answer_words)
-    said = words.filter("kind = 'stats'").select(F.from_json(F.col("a").cast("string"), "n bigint, v bigint, r array<bigint>").alias("x"))
-    unigram = said.agg(F.to_json(F.struct(F.sum("x.n").alias("n"), F.sum("x.v").alias("v"), F.array(*_sums(K + 1)).alias("r"))).alias("s")).scalar()
-    pairs = C.answer(C.told(chunks, words.filter("kind <> 'stats'").withColumn("stats", unigram), ask_pairs, C.MESSAGE), _answer_pairs)
-    said = pairs.filter("kind = 'stats'").select(F.from_json(F.col("a").cast("string"), "r array<bigint>, hot array<struct<h:bigint,c:bigint,n:array<bigint>,s:double>>").alias("x"))
-    bigram = said.agg(F.to_json(F.struct(F.array(*_sums(K + 1)).alias("r"))).alias("s")).scalar()
-    hot = said.select(F.explode("x.hot").alias("y")).groupBy("y.h").agg(F.sum("y.c").alias("c"), F.array(*[F.sum(F.col("y.n")[i]) for i in range(K)]).alias("n"), F.sum("y.s").alias("s"))
-    hot = hot.agg(F.to_json(F.collect_list(F.struct("h", "c", "n", "s"))).alias("s")).scalar()  # fewer than HOT_SHARE + 2
-    return C.told(chunks, pairs.filter("kind <> 'stats'").withColumns({"bigram": bigram, "hot": hot}), evaluate, RESULT)
+    answers = C.answer(C.ask(chunks, ask_words), _answer_words)
+    for level in range(2, order + 1):
+        told = answers.filter("kind <> 'stats'").withColumn("said", _said(answers).scalar())
+        answers = C.answer(C.told(chunks, told, partial(ask_grams, level=level), C.MESSAGE), partial(_answer_grams, level=level, last=level == order))
+    return C.told(chunks, answers.filter("kind <> 'stats'").withColumn("said", _said(answers).scalar()), evaluate, RESULT)
 
 
 def op9_katz_scores(spark, sf_dir: str) -> DataFrame:

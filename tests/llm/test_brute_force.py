@@ -331,49 +331,55 @@ def test_neighbours_visit_only_blocks_in_reach(spark):
     assert got == {2: {11}, 3: set(range(1, 50))}
 
 
-@pytest.mark.parametrize("chunk", [3_000, 10**7])
-def test_katz(docs, rows, chunk, monkeypatch):
+@pytest.mark.parametrize("order, chunk", [(1, 3_000), (2, 3_000), (2, 10**7), (3, 3_000), (4, 5_000)])
+def test_katz(docs, rows, order, chunk, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK_BYTES", chunk)
     train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows}
-    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
-    c1, c2, ch = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, w in tokens.items():
-        if train[i]:
-            c1.update(w)
-            c2.update(zip(["<s>", *w], w))
-            ch.update(["<s>", *w[:-1]])
-    n, v = sum(c1.values()), len(c1)
-    d1, d2 = (katz.discounts([sum(x == k for x in c.values()) for k in range(1, 7)]) for c in (c1, c2))
-    uni = katz.Unigrams(n, v, [sum(x == k for x in c1.values()) for k in range(1, 7)])
-    p1 = lambda w: float(uni.p(np.array([c1[w]]))[0])
-    assert abs(sum(p1(w) for w in c1) + uni.unknown - 1) < 1e-9
-
-    def model(h):
-        """The weight of seen words and of backing off after a history."""
-        seen = {w: c for (a, w), c in c2.items() if a == h}
-        left = sum((1 - (d2[c] if c <= 5 else 1)) * c for c in seen.values()) / ch[h]
-        scale = 1.0
-        if left <= 0:
-            left, scale = 1 / (ch[h] + 1), ch[h] / (ch[h] + 1)
-        return seen, scale, left / (1 - sum(p1(w) for w in seen))
+    tokens = {i: [*WORD.findall(lower(t)), "\n"] for i, t in rows}
+    counts = [collections.Counter() for _ in range(order)]
+    after = collections.defaultdict(collections.Counter)
+
+    def history(w, at, n):
+        """The n words before a token, with one start; none if there are fewer."""
+        before = ["\t", *w[:at]]
+        return tuple(before[-n:]) if 0 < n <= len(before) else None if n else ()
 
+    for i, w in tokens.items():
+        for at, word in enumerate(w) if train[i] else ():
+            for n in range(order):
+                if (h := history(w, at, n)) is not None:
+                    counts[n][*h, word] += 1
+                    after[h][word] += 1
+    d = [katz.discounts([sum(x == k for x in c.values()) for k in range(1, 7)]) for c in counts]
+    n, v = sum(counts[0].values()), len(counts[0])
+    uni = katz.Unigrams(n, v, [sum(x == k for x in counts[0].values()) for k in range(1, 7)])
     cache = {}
 
     def p(h, w):
-        if not ch[h]:
-            return p1(w)
+        if not h:
+            return float(uni.p(np.array([counts[0][w,]]))[0])
+        if h not in after:
+            return p(h[1:], w)
         if h not in cache:
-            cache[h] = model(h)
-        seen, scale, alpha = cache[h]
-        return scale * (d2[seen[w]] if seen[w] <= 5 else 1) * seen[w] / ch[h] if w in seen else alpha * p1(w)
-
-    for h in list(ch)[:20]:  # every history's probabilities sum to one
-        assert abs(sum(p(h, w) for w in c1) + (cache[h][2] if h in cache else 1) * uni.unknown - 1) < 1e-9
-    for r in katz.scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect():
+            seen, f = after[h], d[len(h)]
+            total = sum(seen.values())
+            left, scale = sum((1 - (f[c] if c <= 5 else 1)) * c for c in seen.values()) / total, 1.0
+            if left <= 0:
+                left, scale = 1 / (total + 1), total / (total + 1)
+            cache[h] = total, scale, left / (1 - sum(p(h[1:], x) for x in seen))
+        total, scale, alpha = cache[h]
+        c = after[h][w]
+        return scale * (f := d[len(h)])[c if c <= 5 else 0] * c / total if c else alpha * p(h[1:], w)
+
+    for n_words in range(order):  # every history's probabilities sum to one
+        for h in [h for h in after if len(h) == n_words][:15]:
+            assert abs(sum(p(h, w) for (w,) in counts[0]) + p(h, "unseen") - 1) < 1e-9
+    for r in katz.scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, order=order).collect():
         w = tokens[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not train[r["doc_id"]], len(w), sum(c1[x] > 0 for x in w), n)
-        assert abs(r["base_score"] - sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
-        assert abs(r["score"] - sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w], w))) < 1e-6
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not train[r["doc_id"]], len(w), sum(counts[0][x,] > 0 for x in w), n)
+        assert abs(r["base_score"] - sum(math.log10((counts[0][x,] + 1) / (n + v + 1)) for x in w)) < 1e-6
+        longest = [max((h for n in range(order) if (h := history(w, at, n)) is not None), key=len) for at in range(len(w))]
+        assert abs(r["score"] - sum(math.log10(p(h, x)) for h, x in zip(longest, w))) < 1e-6
 
 
 def test_toxicity_finds_unseen_misspellings():
