@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
+from ..session import shared_folder
 from ..sources import avro, catalogs, files, protobuf, roaring
 from ..sources import iceberg as ice
 from ..sources.delta import DeltaTable
@@ -24,9 +25,7 @@ c = F.col
 
 def fresh(spark, name: str) -> str:
     """A new path in the shared folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestar-checkpoints")
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def orders(spark, d) -> DataFrame:

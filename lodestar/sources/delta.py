@@ -8,6 +8,7 @@ commits are files that must not exist yet, so of two writers one fails.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import time
 import uuid
@@ -39,6 +40,18 @@ class ConcurrentWrite(RuntimeError):
     """Another writer has made this version."""
 
 
+#: The names of classic checkpoints and their columns, by the Delta protocol.
+CHECKPOINT_NAME = re.compile(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet")
+_DV = "deletionVector: struct<storageType:string,pathOrInlineDv:string,offset:int,sizeInBytes:int,cardinality:bigint>"
+ACTIONS = {
+    "protocol": "minReaderVersion: int, minWriterVersion: int, readerFeatures: array<string>, writerFeatures: array<string>",
+    "metaData": "id: string, name: string, description: string, format: struct<provider:string,options:map<string,string>>, schemaString: string, partitionColumns: array<string>, configuration: map<string,string>, createdTime: bigint",
+    "add": f"path: string, partitionValues: map<string,string>, size: bigint, modificationTime: bigint, dataChange: boolean, tags: map<string,string>, {_DV}, baseRowId: bigint, defaultRowCommitVersion: bigint, stats: string",
+    "remove": f"path: string, deletionTimestamp: bigint, dataChange: boolean, extendedFileMetadata: boolean, partitionValues: map<string,string>, size: bigint, {_DV}",
+    "txn": "appId: string, version: bigint, lastUpdated: bigint",
+}
+
+
 @dataclass
 class Snapshot:
     version: int
@@ -127,12 +140,12 @@ class DeltaTable:
     def snapshot(self, version: int | None = None) -> Snapshot:
         """Replays the newest checkpoint at or before the version, then later commits."""
         have = self.versions()
-        marks = [int(n.split(".")[0]) for n, _, _, _ in self.store.list(LOG) if n.endswith(".checkpoint.parquet")]
+        marks = self._checkpoints()
         if not have and not marks:
             raise FileNotFoundError(f"no Delta table at {self.path}")
-        want = max(have + marks) if version is None else version
-        marks = [m for m in marks if m <= want]
-        base, actions = (max(marks), self._checkpoint(max(marks))) if marks else (-1, [])
+        want = max([*have, *marks]) if version is None else version
+        base = max((m for m in marks if m <= want), default=-1)
+        actions = self._checkpoint(marks[base]) if base >= 0 else []
         made = Snapshot(want, {}, {})
         self._replay(made, actions)
         for v in range(base + 1, want + 1):
@@ -157,17 +170,43 @@ class DeltaTable:
             elif "txn" in a:
                 s.transactions[a["txn"]["appId"]] = a["txn"]["version"]
 
-    def _checkpoint(self, version: int) -> list[dict]:
-        rows = self.spark.read.parquet(f"{self.path}/{LOG}/{version:020d}.checkpoint.parquet")
-        return [json.loads(r["action"]) for r in rows.toLocalIterator()]
+    def _checkpoints(self) -> dict[int, list[str]]:
+        """The files of each complete classic checkpoint: one file, or all of its numbered parts."""
+        found: dict[tuple[int, int], list[str]] = {}
+        for name, *_ in self.store.list(LOG):
+            if m := CHECKPOINT_NAME.fullmatch(name):
+                found.setdefault((int(m[1]), int(m[3] or 1)), []).append(name)
+        return {version: sorted(names) for (version, parts), names in sorted(found.items()) if len(names) == parts}
+
+    def _checkpoint(self, names: list[str]):
+        """The actions of a checkpoint's files, a struct column each kind."""
+        rows = self.spark.read.parquet(*[f"{self.path}/{LOG}/{n}" for n in names])
+        kinds = [k for k in ACTIONS if k in rows.columns]
+        for r in rows.select(F.to_json(F.struct(*kinds)).alias("action")).toLocalIterator():
+            if action := json.loads(r["action"]):
+                yield action
 
     def checkpoint(self) -> int:
-        """Writes the live actions as Parquet, and the pointer to it."""
+        """Writes the live actions as one Parquet file of the format's columns, and the pointer to it."""
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         s = self.snapshot()
         actions = [{"protocol": s.protocol}, {"metaData": s.metadata}, *({"add": f} for f in s.files.values()), *({"remove": f} for f in s.tombstones.values())]
         actions += [{"txn": {"appId": k, "version": v}} for k, v in s.transactions.items()]
-        rows = self.spark.createDataFrame([(json.dumps(a),) for a in actions], "action string")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{LOG}/{s.version:020d}.checkpoint.parquet")
+        schema = to_arrow_schema(T._parse_datatype_string(", ".join(f"{k} struct<{v}>" for k, v in ACTIONS.items())))
+        maps = {(k, f.name) for k in ACTIONS for f in schema.field(k).type if pa.types.is_map(f.type)}
+
+        def row(kind: str, action: dict) -> dict:
+            held = {n: list(v.items()) if (kind, n) in maps and v is not None else v for n, v in action.items()}
+            if kind == "metaData":
+                held["format"] = {**held["format"], "options": list(held["format"].get("options", {}).items())}
+            return {kind: held}
+
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_pylist([row(*next(iter(a.items()))) for a in actions], schema=schema), sink)
+        self.store.write(f"{LOG}/{s.version:020d}.checkpoint.parquet", sink.getvalue().to_pybytes())
         self.store.write(f"{LOG}/_last_checkpoint", json.dumps({"version": s.version, "size": len(actions)}).encode())
         return s.version
 

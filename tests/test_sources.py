@@ -259,3 +259,33 @@ def test_parquet_round_trip_is_of_the_whole_table(spark):
     made, want = formats.parquet_round_trip_all(spark, d), formats.orders(spark, d)
     assert made.columns == want.columns
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_delta_opens_checkpoints_of_the_format(spark, tmp_path, parts):
+    """A checkpoint made by hand, in one file or several, and no commits before it."""
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"p{i % 3}") for i in range(30)], "id bigint, part string")
+    t = DeltaTable(spark, str(tmp_path / "t"))
+    t.create(df.schema, ("part",))
+    t.append(df.filter("id < 20"))
+    t.append(df.filter("id >= 20"))
+    log = tmp_path / "t" / "_delta_log"
+    version = t.checkpoint()
+    made = log / f"{version:020d}.checkpoint.parquet"
+    rows = pq.read_table(made)  # one file, a struct column each kind of action
+    assert {"protocol", "metaData", "add", "remove", "txn"} <= set(rows.schema.names)
+    assert rows["add"].combine_chunks().is_valid().to_pylist().count(True) >= 4
+    if parts > 1:
+        made.unlink()
+        for k in range(parts):
+            pq.write_table(rows.take(list(range(k, rows.num_rows, parts))), log / f"{version:020d}.checkpoint.{k + 1:010d}.{parts:010d}.parquet")
+        pq.write_table(rows.slice(0, 1), log / f"{version + 5:020d}.checkpoint.{1:010d}.{2:010d}.parquet")  # incomplete, so none
+    for commit in log.glob("*.json"):
+        commit.unlink()
+    for crc in log.glob(".*.crc"):
+        crc.unlink()
+    again = DeltaTable(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, again.read().select("id", "part").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert again.append(df.limit(1)) == version + 1 and again.read().count() == 31
