@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 BEGIN, END = "<|begin|>", "<|end|>\n"
 #: Strings that chat templates use as controls, each with its escape. The escape sign comes first.
 ESCAPES = (("~", "~0"), ("<|", "~1"), ("[INST]", "~3"), ("[/INST]", "~4"), ("<s>", "~5"), ("</s>", "~6"), ("<<SYS>>", "~7"), ("<</SYS>>", "~8"))
@@ -82,29 +84,29 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, history
     then text; repeated rows are turns of their own; null conv_ids are one
     conversation. Other columns are not read; an empty table gives no rows.
     """
-    turns = _ordered(df)
-    system = turns.filter("role = 'system'").groupBy("conv").agg(F.min(F.struct("idx", "tokens", "role", "text")).alias("said")).withColumnRenamed("conv", "s_conv")
+    rows = checkpoint(_ordered(df))  # read for places, then for texts
+    turns = rows.select("conv", "idx", "tokens", "total", (F.col("role") == "system").alias("system"))
+    system = turns.filter("system").groupBy(F.col("conv").alias("s_conv")).agg(F.min(F.struct("idx", "tokens")).alias("said"))
     room = budget - F.least(F.coalesce("said.tokens", F.lit(0)), F.lit(budget // 2))
-    cell = F.floor((room + 1) / 2)
+    half = F.floor((room + 1) / 2)
     turns = turns.join(system, F.col("conv").eqNullSafe(F.col("s_conv")), "left")
     # long turns come first of those that end in a cell
-    turns = turns.withColumn("cell", 2 * F.floor((F.col("total") - 1) / cell) + (F.col("tokens") <= cell).cast("int")).select("conv", "idx", "role", "text", "tokens", "cell", "said")
-    spans = turns.groupBy("conv", "cell").agg(F.min("idx").alias("first"), F.sum("tokens").alias("own"), F.first("said").alias("said"))
-    told = (F.col("said.idx") < F.col("first")) & ((F.col("said.tokens") + F.col("own") <= budget) | (F.col("own") > budget))
-    spans = spans.withColumn("told", F.coalesce(told, F.lit(False)))
+    turns = turns.withColumn("cell", 2 * F.floor((F.col("total") - 1) / half) + (F.col("tokens") <= half).cast("int"))
+    span = Window.partitionBy("conv", "cell")
+    turns = checkpoint(turns.select("conv", "idx", "tokens", "said", F.min("idx").over(span).alias("w"), F.sum("tokens").over(span).alias("own")))
+    told = (F.col("said.idx") < F.col("w")) & ((F.col("said.tokens") + F.col("own") <= budget) | (F.col("own") > budget))
+    spans = turns.filter(F.col("idx") == F.col("w")).withColumn("told", F.coalesce(told, F.lit(False)))
+    retained = spans.filter("told").select("conv", "w", "said.idx", F.lit(True).alias("again"))
+    # the turns before a window that it may repeat, nearest first, as far as what is left goes
     left = F.least(F.lit(history_tokens), budget - F.col("own") - F.when(F.col("told"), F.col("said.tokens")).otherwise(0))
-    spans = spans.select(F.col("conv").alias("h_conv"), F.col("cell").alias("h_cell"), "first", "own", "told", "said", left.alias("left"))
-    retained = spans.filter("told").select(F.col("h_conv").alias("conv"), F.col("first").alias("w"), "said.idx", F.lit(True).alias("again"), "said.role", "said.text", "said.tokens")
-    # the turns before a window that it may repeat, nearest first
-    wanted = spans.filter("first > 1").withColumn("h_idx", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(history)), lambda k: F.col("first") - k), lambda i: i > 0)))
-    near = turns.drop("cell", "said").join(wanted, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("idx") == F.col("h_idx")))
-    near = near.filter(~(F.col("told") & (F.col("idx") == F.col("said.idx"))))
-    back = Window.partitionBy("conv", "first").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("run", F.sum("tokens").over(back)).filter(F.col("run") <= F.col("left"))
-    again = near.select("conv", F.col("first").alias("w"), "idx", F.lit(True).alias("again"), "role", "text", "tokens")
-    starts = spans.select("h_conv", "h_cell", "first")
-    own = turns.join(starts, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("cell") == F.col("h_cell"))).select("conv", F.col("first").alias("w"), "idx", F.lit(False).alias("again"), "role", "text", "tokens")
-    every = own.unionAll(retained).unionAll(again)
+    before = F.filter(F.transform(F.sequence(F.lit(1), F.lit(history)), lambda k: F.col("w") - k), lambda i: (i > 0) & ~(F.col("told") & (i == F.col("said.idx"))))
+    wanted = spans.filter("w > 1").select(F.col("conv").alias("h_conv"), F.col("w").alias("h_w"), left.alias("left"), F.explode(before).alias("h_idx"))
+    back = Window.partitionBy("conv", "h_w").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    near = turns.select("conv", "idx", "tokens").join(wanted, F.col("conv").eqNullSafe(F.col("h_conv")) & (F.col("idx") == F.col("h_idx")))
+    near = near.withColumn("run", F.sum("tokens").over(back)).filter(F.col("run") <= F.col("left")).select("conv", F.col("h_w").alias("w"), "idx", F.lit(True).alias("again"))
+    places = turns.select("conv", "w", "idx", F.lit(False).alias("again")).unionAll(retained).unionAll(near)
+    places = places.select(F.col("conv").alias("p_conv"), "w", F.col("idx").alias("p_idx"), "again")
+    every = rows.join(places, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("idx") == F.col("p_idx")))
     grouped = every.groupBy("conv", "w").agg(F.array_sort(F.collect_list(F.struct("idx", "again", "role", "text"))).alias("turns"), F.sum("tokens").alias("tokens"))
 
     def shown(t):
