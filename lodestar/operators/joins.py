@@ -25,6 +25,39 @@ def filtered_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return left.join(right, left[left_key] == right[right_key], "left_semi")
 
 
+#: Bits of a block of an approximate set: what the built-in bitmaps hold.
+BLOCK_BITS = 32_768
+
+
+def approximate_set(df: DataFrame, key: str, keys: int, bits_per_key: int = 12, probes: int = 4) -> DataFrame:
+    """(block, bits): a blocked Bloom filter of a column, for about so many distinct keys; null keys take no part.
+
+    A key's block and its places there come from two hashes. Blocks are bitmaps
+    made by partial aggregates, of BLOCK_BITS each whatever the number of rows.
+    """
+    blocks = max(1, -(-keys * bits_per_key // BLOCK_BITS))
+    rows = df.filter(F.col(key).isNotNull()).select(_block(F.col(key), blocks).alias("block"), F.explode(_places(F.col(key), probes)).alias("place"))
+    return rows.groupBy("block").agg(F.call_function("bitmap_construct_agg", F.col("place").cast("bigint")).alias("bits"))
+
+
+def might_contain(df: DataFrame, key: str, made: DataFrame, keys: int, bits_per_key: int = 12, probes: int = 4) -> DataFrame:
+    """The rows whose key may be in an approximate set made with the same numbers: all that are, and few others."""
+    blocks = max(1, -(-keys * bits_per_key // BLOCK_BITS))
+    held = made.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))
+    rows = df.withColumns({"_at": _block(F.col(key), blocks), "_places": _places(F.col(key), probes)})
+    byte = lambda p: F.conv(F.hex(F.substring("_bits", F.shiftright(p, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.forall("_places", lambda p: byte(p).bitwiseAND(F.call_function("shiftleft", F.lit(1), p % 8)) != 0)
+    return rows.join(held, F.col("_at") == F.col("_block")).filter(hit).drop("_at", "_places", "_block", "_bits")
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+
+
+def _places(key: Column, probes: int) -> Column:
+    return F.array_distinct(F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS)).cast("int") for i in range(probes)]))
+
+
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salts: int) -> DataFrame:
     """An inner join whose left side has hot keys: its rows are dealt over `salts`, each right row goes to all."""
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*[left[c] for c in left.columns], F.monotonically_increasing_id()), F.lit(salts)).cast("int"))

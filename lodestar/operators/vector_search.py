@@ -115,8 +115,13 @@ def kmeans_step(df: DataFrame, centres: np.ndarray, key: str = "vec_id", vector:
     return made.drop("v"), new, inertia
 
 
-def kmeans(df: DataFrame, k: int, rounds: int = 10, seed: int = 7, key: str = "vec_id", vector: str = "embedding", sample: int = 2_000, gain: float = 0.001) -> tuple[DataFrame, np.ndarray, float]:
-    """k-means++ on at most `sample` rows (by hash of the key), then Lloyd rounds over all until the gain is small."""
+def kmeans(df: DataFrame, k: int, rounds: int = 10, seed: int = 7, key: str = "vec_id", vector: str = "embedding", sample: int = 2_000, gain: float = 0.001, restarts: int = 1) -> tuple[DataFrame, np.ndarray, float]:
+    """k-means++ on at most `sample` rows (by hash of the key), then Lloyd rounds over all until the gain is small.
+
+    Of several restarts, seeded one after the other, the one of least inertia is kept.
+    """
+    if restarts > 1:
+        return min((kmeans(df, k, rounds, seed + i, key, vector, sample, gain) for i in range(restarts)), key=lambda made: made[2])
     picked = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
     x, rng = np.array([r[0] for r in picked], np.float64), np.random.default_rng(seed)
     if not len(x):
@@ -140,6 +145,14 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def signed_dct(dim: int, seed: int) -> np.ndarray:
+    """The orthonormal cosine transform (DCT-II) of a vector whose components get random signs."""
+    i, j = np.arange(dim)[:, None], np.arange(dim)
+    m = np.sqrt(2 / dim) * np.cos(np.pi * (2 * j + 1) * i / (2 * dim))
+    m[0] /= np.sqrt(2)
+    return m * np.random.default_rng(seed).choice([-1.0, 1.0], dim)
+
+
 def rotate(df: DataFrame, matrix: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     m = np.asarray(matrix, np.float64)
 

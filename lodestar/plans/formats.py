@@ -156,6 +156,16 @@ def codec_round_trip(spark, d):
     return table(spark, d, "nation").select("n_nationkey", *[(files.decompressed(files.compressed(raw, k), k, F.octet_length(raw)) == raw).alias(n) for n, k in codecs.items()])
 
 
+@register("codec_texts", (24,), "SELECT n_nationkey, repeat(n_name, 20) AS gzip, repeat(n_name, 20) AS lz4, repeat(n_name, 20) AS zstd, repeat(n_name, 20) AS snappy, true AS smaller FROM nation")
+def codec_texts(spark, d):
+    """What each codec gives back, and whether all made less of it."""
+    raw = F.repeat("n_name", 20).cast("binary")
+    codecs = {"gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd", "snappy": "snappy"}
+    rows = table(spark, d, "nation").select("n_nationkey", F.octet_length(raw).alias("size"), *[files.compressed(raw, k).alias(n) for n, k in codecs.items()])
+    less = F.greatest(*[F.octet_length(n) for n in codecs]) < c("size")
+    return rows.select("n_nationkey", *[files.decompressed(c(n), k, c("size")).cast("string").alias(n) for n, k in codecs.items()], less.alias("smaller"))
+
+
 @register("storage_listing", (26, 29, 30), "SELECT 'a.txt' AS name, CAST(3 AS BIGINT) AS bytes UNION ALL SELECT 'b.txt', 5")
 def storage_listing(spark, d):
     store = Storage(spark, fresh(spark, "store"))

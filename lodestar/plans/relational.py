@@ -91,6 +91,17 @@ def join_bloom(spark, d):
     return J.filtered_join(table(spark, d, "lineitem").select("l_orderkey"), urgent, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
+@register("join_approximate_set", (153,), "SELECT l_orderkey, COUNT(*) AS n, true AS few FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
+def join_approximate_set(spark, d):
+    """Lines sifted by an approximate set of urgent orders, then joined exactly; and whether few wrong lines got through."""
+    urgent = table(spark, d, "orders").filter(c("o_orderpriority") == "1-URGENT").select("o_orderkey")
+    keys, lines = max(1, urgent.count()), table(spark, d, "lineitem").select("l_orderkey")
+    kept = J.might_contain(lines, "l_orderkey", J.approximate_set(urgent, "o_orderkey", keys), keys)
+    right = J.filtered_join(kept, urgent, "l_orderkey", "o_orderkey")
+    wrong = (kept.agg(F.count("*").alias("n")).scalar() - right.agg(F.count("*").alias("n")).scalar()) < 0.05 * lines.agg(F.count("*").alias("n")).scalar()
+    return right.groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("few", wrong)
+
+
 @register("join_skewed", (140, 141), "SELECT s, COUNT(*) AS n, CAST(SUM(n_nationkey) AS BIGINT) AS k FROM (SELECT CAST(IF(l_orderkey % 3 = 0, 0, l_suppkey % 25) AS INT) AS s FROM lineitem) JOIN nation ON s = n_nationkey GROUP BY 1")
 def join_skewed(spark, d):
     lines = table(spark, d, "lineitem").select(F.when(c("l_orderkey") % 3 == 0, 0).otherwise(c("l_suppkey") % 25).cast("int").alias("s"))

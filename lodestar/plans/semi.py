@@ -35,6 +35,26 @@ def variant_column(spark, d):
     return rows.select("event_id", "v.disc", "v.i", "v.s", "v.f")
 
 
+@register("variant_values", (214,), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' ELSE 'DOUBLE' END AS kind, CASE WHEN event_id % 3 = 0 THEN event_id END AS i, CASE WHEN event_id % 3 = 1 THEN event_type END AS s, CASE WHEN event_id % 3 = 2 THEN value END AS f FROM events")
+def variant_values(spark, d):
+    """One variant column of three types: made, told apart by its own schema, and taken out by type."""
+    e = c("event_id")
+    v = F.when(e % 3 == 0, e.cast("variant")).when(e % 3 == 1, c("event_type").cast("variant")).otherwise(c("value").cast("variant"))
+    rows = table(spark, d, "events").select("event_id", v.alias("v")).withColumn("kind", F.schema_of_variant("v"))
+    taken = {n: F.when(c("kind") == t.upper(), F.try_variant_get("v", "$", t)) for n, t in (("i", "bigint"), ("s", "string"), ("f", "double"))}
+    return rows.select("event_id", "kind", *[x.alias(n) for n, x in taken.items()])
+
+
+@register("array_map_functions", (215,), """SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS kinds, list_max(list_transform(w, lambda x: len(x))) AS longest, len(list_filter(w, lambda x: len(x) > 6)) AS long
+    FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
+def array_map_functions(spark, d):
+    """Words as an array, and as a map of counts whose keys are the distinct ones."""
+    rows = table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("w"))
+    lengths = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.char_length(x))))
+    made = {"n": F.size("w"), "kinds": F.size(F.map_keys(lengths)), "longest": F.array_max(F.map_values(lengths)), "long": F.size(F.filter("w", lambda x: F.char_length(x) > 6))}
+    return rows.select("doc_id", *[F.when(c("w").isNotNull(), x).cast("bigint").alias(n) for n, x in made.items()])
+
+
 PROM = "(SELECT event_type, CAST(epoch_us(ts) // 1000 AS BIGINT) AS t, event_id, value AS v, CAST(epoch_us(ts) // 1000 AS BIGINT) // 86400000 AS day FROM events)"
 
 
@@ -146,6 +166,27 @@ def vector_pruning(spark, d):
     return vector_search.box_bounds(rows, q, "label").join(least, "label").select("label", (c("bound") <= c("least") + 1e-9).alias("sound"), "same")
 
 
+@register("vector_box_bounds", (295,), """WITH q AS (SELECT UNNEST(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id = 0),
+    e AS (SELECT label, i, MIN(v) AS lo, MAX(v) AS hi FROM (SELECT label, UNNEST(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2)
+    SELECT label, ROUND(SUM(greatest(lo - x, x - hi, 0) ** 2), 6) AS bound FROM e JOIN q USING (i) GROUP BY 1""")
+def vector_box_bounds(spark, d):
+    rows = table(spark, d, "embeddings")
+    q = np.array(rows.filter("vec_id = 0").first()["embedding"])
+    return vector_search.box_bounds(rows, q, "label").select("label", F.round("bound", 6).alias("bound"))
+
+
+@register("vector_rotated", (296,), """SELECT vec_id, ROUND(sqrt(2 / len(e)) * list_sum(list_transform(range(1, len(e) + 1), lambda j: e[j] * cos(pi() * (2 * j - 1) * 5 / (2 * len(e))))), 6) AS fifth
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+def vector_rotated(spark, d):
+    """The transform's fifth component, the signs taken back first."""
+    rows = table(spark, d, "embeddings")
+    dim = len(rows.filter("vec_id = 0").first()["embedding"])
+    m = vector_search.signed_dct(dim, 5)
+    signs = np.sign(m[0])  # the first row has one size throughout
+    turned = vector_search.rotate(rows, m * signs)
+    return turned.select("vec_id", F.round(F.get("rotated", F.lit(5)), 6).alias("fifth"))
+
+
 @register("graph_csr", (298,), "SELECT o_custkey, degree, CAST(SUM(degree) OVER (ORDER BY o_custkey) - degree AS BIGINT) AS first FROM (SELECT o_custkey, COUNT(*) AS degree FROM orders GROUP BY 1)")
 def graph_csr(spark, d):
     return graph.offsets(table(spark, d, "orders").select("o_custkey"), "o_custkey").select("o_custkey", "degree", "first")
@@ -199,6 +240,15 @@ def tensor_rope(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (F.abs(V.inner_product(turned, turned) - V.inner_product(e, e)) < 1e-9).alias("kept"))
 
 
+@register("tensor_rope_values", (308,), """SELECT vec_id, ROUND(list_sum(list_transform(range(len(e)), lambda i: (i + 1) * (e[i + 1] * cos(vec_id / pow(10000.0, (i - i % 2) / len(e))) + CASE WHEN i % 2 = 0 THEN -e[i + 2] ELSE e[i] END * sin(vec_id / pow(10000.0, (i - i % 2) / len(e)))))), 4) AS turned
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+def tensor_rope_values(spark, d):
+    """Each rotated component, weighed by its place."""
+    e = c("embedding").cast("array<double>")
+    turned = F.transform(V.rope(e, c("vec_id")), lambda x, i: x * (i + 1))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(turned, F.lit(0.0), lambda a, x: a + x), 4).alias("turned"))
+
+
 @register("zone_maps", (311,), "SELECT zone, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, COUNT(*) AS n, COUNT(*) FILTER (WHERE o_totalprice IS NULL) AS nulls FROM (SELECT *, o_orderkey // 1000 AS zone FROM orders) GROUP BY 1 HAVING MAX(o_totalprice) >= 100000 AND MIN(o_totalprice) <= 200000")
 def zone_maps(spark, d):
     zones = table(spark, d, "orders").groupBy(F.floor(c("o_orderkey") / 1000).alias("zone")).agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.count("*").alias("n"), F.count_if(c("o_totalprice").isNull()).alias("nulls"))

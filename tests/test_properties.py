@@ -155,3 +155,33 @@ def test_udf_takes_all_orders(spark):
     d = "/root/testdata/sf0.001"
     want = {r["o_orderkey"] for r in catalog.table(spark, d, "orders").select("o_orderkey").collect()}
     assert {r["o_orderkey"] for r in semi.udf_surface_all(spark, d).collect()} == want and any(k % 2 for k in want)
+
+
+@pytest.mark.parametrize("keys", [1, 20_000])
+def test_approximate_set(spark, keys):
+    """Every member passes, null keys never, and at most one other in fifty."""
+    members = spark.range(keys).select((F.col("id") * 3).alias("k")).unionAll(spark.range(1).select(F.lit(None).cast("bigint")))
+    made = joins.approximate_set(members, "k", keys)
+    asked = members.unionAll(spark.range(20_000).select(F.col("id") * 3 + 1))
+    kept = [r[0] for r in joins.might_contain(asked, "k", made, keys).collect()]
+    assert None not in kept
+    assert {k for k in kept if k % 3 == 0} == {3 * i for i in range(keys)}
+    assert sum(k % 3 == 1 for k in kept) <= 400
+
+
+def test_approximate_set_of_nothing(spark):
+    empty = spark.range(0).select(F.col("id").alias("k"))
+    assert joins.might_contain(spark.range(5).withColumnRenamed("id", "k"), "k", joins.approximate_set(empty, "k", 0), 0).count() == 0
+
+
+@pytest.mark.parametrize("dim", [1, 5, 64])
+def test_signed_dct_is_a_rotation(dim):
+    m = vector_search.signed_dct(dim, 3)
+    assert np.allclose(m @ m.T, np.eye(dim))
+
+
+def test_restarts_keep_the_least_inertia(spark):
+    x = np.random.default_rng(1).normal(size=(60, 2)) + np.repeat([[0, 0], [9, 0], [0, 9], [9, 9]], 15, axis=0)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    each = [vector_search.kmeans(df, 4, seed=7 + i)[2] for i in range(3)]
+    assert vector_search.kmeans(df, 4, restarts=3)[2] == pytest.approx(min(each))
