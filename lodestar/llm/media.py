@@ -79,7 +79,7 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
     out = np.empty(n_out, np.float32)
     for p in range(up):
         mine = np.flatnonzero(m % up == p)
-        out[mine] = view[m[mine] // up] @ branches[(up - p) % up]
+        out[mine] = view[m[mine] // up] @ branches[p]
     return out
 
 
