@@ -9,14 +9,16 @@ bags share its label by attention that sharpens from the mean to the worst bag.
 Since the softmax is linear, a trained model folds into one number per n-gram.
 
 Training takes at most SAMPLE labelled rows (half of either class, by hash of
-the id) in one task. Scoring is a narrow stage over whole texts.
+the id) in one task, whole texts of at most LONGEST bytes and together of at
+most SAMPLE_BYTES; an id counts once. Scoring is a narrow stage over whole texts
+of any length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,8 @@ from .common import _BYTE, U64, Words, arrow_schema, crc_mod, free_name, mix64,
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 2_400
+#: Bytes of their texts, half of either class, and of one of them, at most: training takes about 30 bytes of memory for each.
+SAMPLE_BYTES, LONGEST = 16_000_000, 256_000
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -161,7 +165,12 @@ def score_buffer(buf: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> np.ndarray:
-    """Fits on at most `sample` labelled rows whose crc32(id) mod 3 is not 1, half of either class."""
+    """Fits on at most `sample` labelled rows whose crc32(id) mod 3 is not 1, half of either class.
+
+    Of rows that repeat an id the least text stands for all; one that is null
+    or over LONGEST bytes is not learnt from. Rows are taken by hash of the id
+    while they fit into a class's half of SAMPLE_BYTES.
+    """
     label = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     label = label.filter(crc_mod("doc_id", 3) != 1)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -169,7 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = picks[0].unionAll(picks[1]).select(F.col("doc_id").alias("l_id"), "toxic")  # at most `sample` rows
     small_batches(docs.sparkSession)
     mine = docs.select(F.col(f"`{doc_id}`").alias("l_doc"), F.col(f"`{text}`").alias("l_text"))
-    rows = mine.join(F.broadcast(chosen), F.col("l_doc") == F.col("l_id")).select("l_doc", "l_text", "toxic")
+    rows = mine.join(F.broadcast(chosen), F.col("l_doc") == F.col("l_id")).filter(F.octet_length("l_text") <= LONGEST)
+    rows = rows.groupBy("l_doc", "toxic").agg(F.min("l_text").alias("l_text"))  # an id's copies meet after a partial aggregate
+    so_far = F.sum(F.octet_length("l_text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("l_doc"), "l_doc").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("l_bytes", so_far).filter(F.col("l_bytes") <= SAMPLE_BYTES // 2).select("l_doc", "l_text", "toxic")
 
     def run(batches):
         table = pa.Table.from_batches(list(batches), schema=pa.schema([("l_doc", pa.int64()), ("l_text", pa.string()), ("toxic", pa.int32())]))

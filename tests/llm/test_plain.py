@@ -98,3 +98,16 @@ def test_toxicity_query_learns_from_no_held_out_label(spark, tmp_path):
     for r in got:
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_toxicity_fits_on_bounded_bytes(spark, monkeypatch):
+    """Copies of an id count once, longer texts and those beyond the class's bytes are not learnt from."""
+    docs = [(i, "zzbad words here" if i % 2 else "good words here") for i in range(40)] + [(1, "zzbad words here")] * 500 + [(100, "x " * toxicity.LONGEST), (102, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(100, 1), (102, 0)], "doc_id bigint, toxic int")
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = toxicity.fit(rows, labels)
+    want = toxicity.train(toxicity.pa.array([docs[i][1] for i in kept]), np.array([i % 2 for i in kept]))
+    assert np.allclose(model, want, atol=1e-4)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2 * len("zzbad words here") - 2)  # one clean text fits, no toxic one
+    assert toxicity.score(rows, toxicity.fit(rows, labels)).filter("score >= 0.7").count() == 0
