@@ -375,16 +375,18 @@ class DeltaTable:
         rows = rows.select(*[(F.when(hit, values[f.name]).otherwise(F.col(f.name)) if f.name in values else F.col(f.name)).alias(f.name) for f in s.schema])
         return self._rewrite(s, "UPDATE", files, rows)
 
-    def merge(self, source: DataFrame, key: str, update: bool = True, insert: bool = True, delete: Column | None = None) -> int:
-        """Upserts rows by a key that the source doesn't repeat; `delete`: a predicate on source rows whose matches go."""
+    def merge(self, source: DataFrame, key: str, update: bool = True, insert: bool = True, delete: Column | None = None, match: Column | None = None) -> int:
+        """Upserts rows by a key that the source doesn't repeat; predicates on source rows: `delete`, whose matches go, and
+        `match`, which may match at all (the others are new whatever their key, and may repeat one)."""
         s = self.snapshot()
         names = [f.name for f in s.schema]
-        src = source.select(*[F.col(n).alias(f"_s_{n}") for n in names], *([delete.alias("_gone")] if delete is not None else [F.lit(False).alias("_gone")]))
+        src = source.select(*[F.col(n).alias(f"_s_{n}") for n in names], (delete if delete is not None else F.lit(False)).alias("_gone"), (match if match is not None else F.lit(True)).alias("_may"))
+        same = (F.col(key) == F.col(f"_s_{key}")) & F.col("_may")
         everything = self._rows(s, s.files)
         named = {unquote(p): p for p in s.files}
-        files = {named[r[0]]: s.files[named[r[0]]] for r in everything.join(src, F.col(key) == F.col(f"_s_{key}"), "left_semi").select("_file").distinct().collect()}
+        files = {named[r[0]]: s.files[named[r[0]]] for r in everything.join(src, same, "left_semi").select("_file").distinct().collect()}
         old = self._rows(s, files).withColumn("_old", F.lit(True))
-        both = old.join(src.withColumn("_new", F.lit(True)), F.col(key) == F.col(f"_s_{key}"), "full")
+        both = old.join(src.withColumn("_new", F.lit(True)), same, "full")
         both = both.filter(~(F.coalesce("_old", F.lit(False)) & F.coalesce("_gone", F.lit(False))))
         matched = F.col("_old").isNotNull() & F.col("_new").isNotNull()
         fresh = F.col("_old").isNull()

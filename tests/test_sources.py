@@ -120,6 +120,28 @@ def test_delta_changes(spark, tmp_path):
     assert ids(t.read()) == [2]
 
 
+def test_delta_merge_of_rows_that_match_none(spark, tmp_path):
+    """Rows that are new whatever their key stand beside the old ones of that key, and beside the source's own."""
+    t = table(spark, tmp_path)
+    source = spark.createDataFrame([(1, "A", False), (2, "x", True), (1, "y", True), (9, "z", True), (3, "w", None)], "id bigint, s string, new boolean")
+    t.merge(source, "id", match=~F.col("new"))
+    assert sorted(tuple(r) for r in t.read().collect()) == [(1, "A"), (1, "y"), (2, "b"), (2, "x"), (3, "c"), (3, "w"), (9, "z")]
+
+
+def test_delta_merge_beyond_a_million_keys(spark, tmp_path):
+    """The query's new keys, a million on, are those of other orders."""
+    import datetime
+
+    from lodestar import catalog, plans  # noqa: F401
+
+    day = datetime.datetime(2020, 1, 2)
+    rows = [(k + i * 1_000_000, k, status, 5.0, day) for i in range(3) for k, status in ((1, "P"), (2, "O"), (3, "P" if i else "F"), (4, "F" if i else "P"))]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    changed = [(k + n, cust, "X", 1.0, day.date()) for k, cust, status, *_ in rows if status == "P" for n in (0, 1_000_000)]
+    got = catalog.QUERIES["delta_merge"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(k, cust, status, price, day.date()) for k, cust, status, price, _ in rows if status != "P"] + changed)
+
+
 def test_iceberg(spark, tmp_path):
     t = IcebergTable(spark, str(tmp_path / "t"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("sym", T.StringType()), T.StructField("price", T.DoubleType()), T.StructField("active", T.BooleanType())])
