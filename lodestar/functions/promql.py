@@ -10,7 +10,12 @@ NAN = float("nan")
 
 def samples(t: Column, v: Column) -> Column:
     """Aggregate: a group's samples by time. Groups are one series' window, which bounds them."""
-    return F.array_sort(F.collect_list(F.struct(t.alias("t"), v.alias("v"))))
+    return F.sort_array(F.collect_list(F.struct(t.alias("t"), v.alias("v"))))
+
+
+def _let(x: Column, body) -> Column:
+    """body of x, computed once. What a lambda takes from outside is computed again at each element, so a mean there takes quadratic time."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def _at(s, i):
@@ -30,6 +35,14 @@ def _sum(values):
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _mean(values):
+    return F.try_divide(_sum(values), F.size(values))
+
+
+def _values(s):
+    return F.array_compact(F.transform(s, lambda p: p["v"]))
+
+
 def extrapolated(s: Column, start, end, counter: bool, rate: bool) -> Column:
     """delta, increase or rate over (start, end]: reset correction and extrapolation to the window's ends."""
     first, last = _at(s, 1), _at(s, -1)
@@ -78,19 +91,30 @@ def regression(s: Column, at: Column) -> tuple[Column, Column]:
     return _enough(s, slope), _enough(s, my - slope * mx)
 
 
+def variance(s: Column) -> Column:
+    """Of the population."""
+    v = _values(s)
+    return _let(_mean(v), lambda m: _mean(F.transform(v, lambda x: (x - m) * (x - m))))
+
+
 def quantile(s: Column, q: float) -> Column:
     if q < 0 or q > 1:
         return F.lit(float("-inf") if q < 0 else float("inf"))
-    v = F.array_sort(F.transform(s, lambda p: p["v"]))
-    rank = F.lit(q) * (F.size(v) - 1)
-    low = F.floor(rank).cast("int")
-    a, b = F.get(v, low), F.get(v, F.least(low + 1, F.size(v) - 1))
-    return a + (b - a) * (rank - low)
+    return _quantile(_values(s), q)
+
+
+def _quantile(values: Column, q: float) -> Column:
+    def of(v):
+        rank = F.lit(q) * (F.size(v) - 1)
+        low = F.floor(rank).cast("int")
+        a, b = F.get(v, low), F.get(v, F.least(low + 1, F.size(v) - 1))
+        return a + (b - a) * (rank - low)
+
+    return _let(F.sort_array(values), of)
 
 
 def mad(s: Column) -> Column:
-    m = quantile(s, 0.5)
-    return quantile(F.transform(s, lambda p: F.struct(p["t"].alias("t"), F.abs(p["v"] - m).alias("v"))), 0.5)
+    return _let(quantile(s, 0.5), lambda m: _quantile(F.transform(_values(s), lambda x: F.abs(x - m)), 0.5))
 
 
 def histogram_quantile(buckets: Column, q: float) -> Column:

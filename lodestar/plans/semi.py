@@ -69,9 +69,7 @@ def ranges(spark, d) -> DataFrame:
     FROM (SELECT *, LAG(v) OVER (PARTITION BY event_type, day ORDER BY t, v) AS b FROM {PROM}) GROUP BY ALL HAVING COUNT(*) > 1""")
 def prom_over_time(spark, d):
     s = c("s")
-    values = F.transform(s, lambda p: p["v"])
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(s)
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(s)
+    var = Q.variance(s)
     made = {"sd": F.sqrt(var), "var": var, "q": Q.quantile(s, 0.9), "mad": Q.mad(s)}
     return ranges(spark, d).filter(F.size("s") > 1).select("event_type", "day", *[F.round(v * F.pi(), 4).alias(k) for k, v in made.items()], Q.resets(s).alias("resets"), Q.changes(s).alias("changes"))
 

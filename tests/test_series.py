@@ -1,6 +1,7 @@
 """Recurrences and range functions against plain loops and published cases."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,27 @@ def test_regression_of_a_constant(spark):
     assert tuple(one(spark, every_five_minutes([4, 4, 4]), slope, value)) == (0.0, 4.0)
 
 
+def within(seconds, f, *args):
+    start = time.perf_counter()
+    got = f(*args)
+    assert time.perf_counter() - start < seconds
+    return got
+
+
+def test_long_windows_in_linear_time(spark):
+    """Six thousand samples: a mean or median computed again at each of them takes a minute and over."""
+    s, v = F.col("s"), np.random.default_rng(3).normal(50, 9, 6000)
+    got = within(15, one, spark, enumerate(v), Q.variance(s), Q.quantile(s, 0.9), Q.mad(s))
+    assert np.allclose(list(got), [v.var(), np.quantile(v, 0.9), np.median(np.abs(v - np.median(v)))], rtol=1e-12)
+
+
+def test_quantiles_and_variance_pass_over_missing_values(spark):
+    s = F.col("s")
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0), (4, 9.0)], "t bigint, v double")
+    got = df.groupBy().agg(Q.samples(F.col("t"), F.col("v")).alias("s")).select(Q.variance(s), Q.quantile(s, 0.5), Q.mad(s)).first()
+    assert np.allclose(list(got), [26 / 3, 4.0, 2.0])
+
+
 def test_histogram_quantile(spark):
     def q(pairs, x):
         b = F.array(*[F.struct(F.lit(float(le)).alias("le"), F.lit(float(n)).alias("n")) for le, n in pairs])
