@@ -81,14 +81,25 @@ def changes(s: Column) -> Column:
 
 def regression(s: Column, at: Column) -> tuple[Column, Column]:
     """Slope a second and value at time `at` of the least-squares line; a constant series has slope 0."""
-    n = F.size(s)
     x = F.transform(s, lambda p: (p["t"] - at) / 1000)
-    mx, my = F.try_divide(_sum(x), n), F.try_divide(_sum(F.transform(s, lambda p: p["v"])), n)
     pairs = F.zip_with(x, s, lambda a, p: F.struct(a.alias("x"), p["v"].alias("y")))
-    cov = _sum(F.transform(pairs, lambda p: (p["x"] - mx) * (p["y"] - my)))
-    var = _sum(F.transform(pairs, lambda p: (p["x"] - mx) * (p["x"] - mx)))
-    slope = F.coalesce(F.try_divide(cov, var), F.lit(0.0))
-    return _enough(s, slope), _enough(s, my - slope * mx)
+
+    def about(m):
+        cov = _sum(F.transform(pairs, lambda p: (p["x"] - m["x"]) * (p["y"] - m["y"])))
+        var = _sum(F.transform(pairs, lambda p: (p["x"] - m["x"]) * (p["x"] - m["x"])))
+        return F.struct(F.coalesce(F.try_divide(cov, var), F.lit(0.0)).alias("slope"), m["x"].alias("x"), m["y"].alias("y"))
+
+    made = _let(F.struct(_mean(x).alias("x"), _mean(F.transform(s, lambda p: p["v"])).alias("y")), about)
+    return _enough(s, made["slope"]), _enough(s, made["y"] - made["slope"] * made["x"])
+
+
+def line(t: Column, v: Column, at: Column) -> tuple[Column, Column]:
+    """Aggregates: `regression` of a group's rows, which needs no array of them; they are partial before the exchange. As in SQL, rows
+    without a value count for the mean time only, and those at one time have the slope NaN."""
+    x = (t - at) / 1000
+    slope = F.coalesce(F.regr_slope(v, x), F.when(F.regr_count(v, x) == 0, F.lit(0.0)).otherwise(F.lit(NAN)))
+    lone = F.count("*") < 2
+    return F.when(lone, F.lit(NAN)).otherwise(slope), F.when(lone, F.lit(NAN)).otherwise(F.avg(v) - slope * F.avg(x))
 
 
 def variance(s: Column) -> Column:

@@ -58,11 +58,14 @@ def array_map_functions(spark, d):
 PROM = "(SELECT event_type, CAST(epoch_us(ts) // 1000 AS BIGINT) AS t, event_id, value AS v, CAST(epoch_us(ts) // 1000 AS BIGINT) // 86400000 AS day FROM events)"
 
 
+def by_day(spark, d) -> DataFrame:
+    rows = table(spark, d, "events").select("event_type", F.floor(F.unix_micros(c("ts").cast("timestamp")) / 1000).alias("t"), c("value").alias("v"))
+    return rows.withColumn("day", F.floor((c("t")) / 86_400_000))
+
+
 def ranges(spark, d) -> DataFrame:
     """Samples of each event type by day, in (start, end] windows of a day."""
-    rows = table(spark, d, "events").select("event_type", F.floor(F.unix_micros(c("ts").cast("timestamp")) / 1000).alias("t"), c("value").alias("v"))
-    day = F.floor((c("t")) / 86_400_000)
-    return rows.groupBy("event_type", day.alias("day")).agg(Q.samples(c("t"), c("v")).alias("s")).withColumns({"start": c("day") * 86_400_000 - 1, "stop": c("day") * 86_400_000 + 86_399_999})
+    return by_day(spark, d).groupBy("event_type", "day").agg(Q.samples(c("t"), c("v")).alias("s")).withColumns({"start": c("day") * 86_400_000 - 1, "stop": c("day") * 86_400_000 + 86_399_999})
 
 
 @register("prom_over_time", (218, 220, 221, 222), f"""SELECT event_type, day, ROUND(STDDEV_POP(v) * pi(), 4) AS sd, ROUND(VAR_POP(v) * pi(), 4) AS var, ROUND(quantile_cont(v, 0.9) * pi(), 4) AS q, ROUND(mad(v) * pi(), 4) AS mad, CAST(SUM(CAST(v < b AS INT)) AS INT) AS resets, CAST(SUM(CAST(v <> b AS INT)) AS INT) AS changes
@@ -77,8 +80,9 @@ def prom_over_time(spark, d):
 @register("prom_regression", (219,), f"""SELECT event_type, day, ROUND(COALESCE(regr_slope(v, (t - (day * 86400000 + 86399999)) / 1000.0), 0), 9) AS deriv, ROUND(AVG(v) - COALESCE(regr_slope(v, (t - (day * 86400000 + 86399999)) / 1000.0), 0) * AVG((t - (day * 86400000 + 86399999)) / 1000.0) + 3600 * COALESCE(regr_slope(v, (t - (day * 86400000 + 86399999)) / 1000.0), 0), 4) AS hour_on
     FROM {PROM} GROUP BY ALL HAVING COUNT(*) > 1""")
 def prom_regression(spark, d):
-    slope, value = Q.regression(c("s"), c("stop"))
-    return ranges(spark, d).filter(F.size("s") > 1).select("event_type", "day", F.round(slope, 9).alias("deriv"), F.round(value + slope * 3600, 4).alias("hour_on"))
+    slope, value = Q.line(c("t"), c("v"), c("day") * 86_400_000 + 86_399_999)
+    lines = by_day(spark, d).groupBy("event_type", "day").agg(F.count("*").alias("n"), slope.alias("slope"), value.alias("value"))
+    return lines.filter("n > 1").select("event_type", "day", F.round("slope", 9).alias("deriv"), F.round(c("value") + c("slope") * 3600, 4).alias("hour_on"))
 
 
 @register("prom_rate", (216, 217), f"""WITH e AS (SELECT *, LAG(v) OVER o AS b, LAG(t) OVER o AS bt FROM {PROM} WINDOW o AS (PARTITION BY event_type, day ORDER BY t, v)),

@@ -71,6 +71,24 @@ def test_quantiles_and_variance_pass_over_missing_values(spark):
     assert np.allclose(list(got), [26 / 3, 4.0, 2.0])
 
 
+def test_lines_of_long_windows_in_linear_time(spark):
+    s, v = F.col("s"), np.random.default_rng(4).normal(50, 9, 6000)
+    slope, value = np.polyfit(np.arange(6000.0) - 6000, v, 1)
+    got = within(15, one, spark, enumerate(v), *Q.regression(s, F.lit(6_000_000)))
+    assert np.allclose(list(got), [slope, value], rtol=1e-9)
+
+
+def test_lines_of_groups(spark):
+    """The aggregates give the array's lines: of a few rows, of a constant, at one time, of a single row, with a missing value."""
+    kinds = {"a": [(0, 1.0), (10, 5.0), (20, 4.0)], "b": [(0, 4.0), (10, 4.0)], "c": [(5, 1.0), (5, 2.0)], "d": [(5, 1.0)], "e": [(0, 1.0), (10, 3.0), (20, None)]}
+    df = spark.createDataFrame([(k, t * 1000, v) for k, rows in kinds.items() for t, v in rows], "k string, t bigint, v double")
+    got = {r[0]: (r[1], r[2]) for r in df.groupBy("k").agg(*Q.line(F.col("t"), F.col("v"), F.lit(20_000))).collect()}
+    assert np.allclose(got["a"], (0.15, 29 / 6)) and got["b"] == (0.0, 4.0)
+    assert np.isnan([*got["c"], *got["d"]]).all() and got["e"][0] == pytest.approx(0.2)
+    arrays = df.filter("k < 'c'").groupBy("k").agg(Q.samples(F.col("t"), F.col("v")).alias("s")).select("k", *Q.regression(F.col("s"), F.lit(20_000))).collect()
+    assert all(np.allclose(got[k], x) for k, *x in arrays)
+
+
 def test_histogram_quantile(spark):
     def q(pairs, x):
         b = F.array(*[F.struct(F.lit(float(le)).alias("le"), F.lit(float(n)).alias("n")) for le, n in pairs])
